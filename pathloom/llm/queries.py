@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from pathloom.llm import line_dedup, quality_classifier
+from pathloom.llm import line_dedup, near_dedup, quality_classifier
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
 }
 
