@@ -1,11 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
-from pathloom.llm import line_dedup, near_dedup, quality_classifier
+from pathloom.llm import decontaminate, line_dedup, near_dedup, packing, quality_classifier
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+    "op8_packing": packing.op8_packing,
 }
 
 ORACLES = {"op3_line_dedup": line_dedup.ORACLE}

@@ -112,3 +112,48 @@ def windows(hashes: np.ndarray, rows: np.ndarray, n: int):
 
 def lower(column):
     return pc.utf8_lower(column)
+
+
+class HashTable:
+    """64-bit hashes to int32, open addressing, whole arrays at a time; -1 for what isn't in it."""
+
+    def __init__(self, size: int = 1 << 12):
+        self.keys, self.values, self.n = np.zeros(size, np.uint64), np.zeros(size, np.int32), 0
+
+    def _home(self, keys):
+        return (keys & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        keys = np.maximum(keys, np.uint64(1))
+        at = self._home(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1).astype(np.int32)
+        open_ = np.flatnonzero((found != keys) & (found != 0))
+        last = len(self.keys) - 1
+        while len(open_):
+            at[open_] = (at[open_] + 1) & last
+            found = self.keys[at[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.values[at[open_[hit]]]
+            open_ = open_[~hit & (found != 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that aren't in the table."""
+        if 2 * (self.n + len(keys)) > len(self.keys):
+            old = self.keys != 0
+            k, v = self.keys[old], self.values[old]
+            size = 1 << int(4 * (self.n + len(keys))).bit_length()
+            self.keys, self.values, self.n = np.zeros(size, np.uint64), np.zeros(size, np.int32), 0
+            self._put(k, v)
+        self._put(np.maximum(keys, np.uint64(1)), np.asarray(values, np.int32))
+
+    def _put(self, keys, values):
+        self.n += len(keys)
+        at, last = self._home(keys), len(self.keys) - 1
+        while len(keys):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[free]
+            won = free & (self.keys[at] == keys)
+            self.values[at[won]] = values[won]
+            keys, values, at = keys[~won], values[~won], (at[~won] + 1) & last
