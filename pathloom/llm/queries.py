@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from pathloom.llm import decontaminate, language_id, license_scan, line_dedup, near_dedup, packing, quality_classifier, quality_rules, secret_scan
+from pathloom.llm import decontaminate, language_id, license_scan, line_dedup, near_dedup, packing, quality_classifier, quality_rules, secret_scan, surrogates
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+    "op7_pii_surrogates": surrogates.op7_pii_surrogates,
     "op8_packing": packing.op8_packing,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_quality_rules": quality_rules.op10_quality_rules,
