@@ -96,7 +96,7 @@ def usable_events(spark, d):
 @query(
     "p15_dated_events",
     f"WITH {RAW} SELECT *, CAST(CAST(event_timestamp AS DATE) AS VARCHAR) AS event_date, CASE WHEN price < 50 THEN 'Budget' WHEN price < 200 THEN 'Mid-Range' WHEN price < 500 THEN 'Premium' WHEN price IS NOT NULL THEN 'Luxury' END AS price_category, "
-    "CAST(hour(event_timestamp) AS INTEGER) AS event_hour, dayofweek(event_timestamp) IN (0 + 1e-9, 6) AS is_weekend FROM e",
+    "CAST(hour(event_timestamp) AS INTEGER) AS event_hour, dayofweek(event_timestamp) IN (0, 6) AS is_weekend FROM e",
 )
 def dated_events(spark, d):
     return rounded(E.derived_columns(E.with_date(D.raw_events(spark, d))))
@@ -260,7 +260,7 @@ FEATURES = f"""{FULL}, g AS (SELECT user_id, count(*) AS total_events, count(DIS
     count(DISTINCT brand) AS unique_brands, {COUNTS}, sum(CASE WHEN event_type = 'purchase' THEN price ELSE 0.0 END) AS total_spent, avg(price) FILTER (WHERE event_type = 'purchase') AS avg_purchase_value,
     max(price) FILTER (WHERE event_type = 'purchase') AS max_purchase, count(*) FILTER (WHERE price < 50) AS budget_interactions, count(*) FILTER (WHERE price >= 50 AND price < 200) AS midrange_interactions,
     count(*) FILTER (WHERE price >= 200 AND price < 500) AS premium_interactions, count(*) FILTER (WHERE price >= 500) AS luxury_interactions, min(event_timestamp) AS first_event_date, max(event_timestamp) AS last_event_date,
-    avg(price) AS avg_price_browsed, stddev_samp(price) AS price_stddev, avg(hour(event_timestamp)) AS avg_hour_of_day, count(*) FILTER (WHERE dayofweek(event_timestamp) IN (0 + 1e-9, 6)) AS weekend_events FROM x GROUP BY user_id),
+    avg(price) AS avg_price_browsed, stddev_samp(price) AS price_stddev, avg(hour(event_timestamp)) AS avg_hour_of_day, count(*) FILTER (WHERE dayofweek(event_timestamp) IN (0, 6)) AS weekend_events FROM x GROUP BY user_id),
   h AS (SELECT *, CAST(date_diff('day', CAST(first_event_date AS DATE), CAST(last_event_date AS DATE)) + 1 AS INTEGER) AS days_active, total_events / total_sessions AS avg_events_per_session,
     {share("cart_count", "view_count")} AS view_to_cart_ratio, {share("purchase_count", "cart_count")} AS cart_to_purchase_ratio, {share("purchase_count", "total_events")} AS overall_conversion_rate, {share("weekend_events", "total_events")} AS weekend_ratio,
     CAST(date_diff('day', CAST(last_event_date AS DATE), DATE '2024-01-31') AS INTEGER) AS recency_days FROM g),
@@ -314,7 +314,7 @@ def price_summary(spark, d):
     return rounded(M.price_summary(D.raw_events(spark, d)))
 
 
-PAIRS = {"price": "price", "event_hour": "hour(event_timestamp)", "is_purchase": "CAST(event_type = 'purchase' AS INTEGER)", "is_weekend": "CAST(dayofweek(event_timestamp) IN (0 + 1e-9, 6) AS INTEGER)"}
+PAIRS = {"price": "price", "event_hour": "hour(event_timestamp)", "is_purchase": "CAST(event_type = 'purchase' AS INTEGER)", "is_weekend": "CAST(dayofweek(event_timestamp) IN (0, 6) AS INTEGER)"}
 
 
 @query("a16_correlations", f"WITH {RAW} " + " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({x}, {y}) + 1e-9, 6) AS correlation FROM e WHERE price IS NOT NULL" for a, x in PAIRS.items() for b, y in PAIRS.items()))
