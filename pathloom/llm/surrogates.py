@@ -14,10 +14,10 @@ of entities. What is kept, by type:
     name     title, gender, script, capitals; known given names become others of their gender and
              script, other words get letters of their script, vowels for vowels
 
-Case and punctuation follow the original (EVA for EVA), but don't tell entities apart. A check in
-every document holds surrogates against each other and against the entities of the document: if
-two entities came to one surrogate, or one to itself or to another's original, the later one by
-order is permuted again with a tweak.
+Case and punctuation follow the original (EVA for EVA), but don't tell entities apart. Two checks
+guard what the permutation can't: an entity that would stand for itself is permuted again with a
+tweak, the same one everywhere; and in every document the surrogates are held against each other,
+so that if two entities came to one, the later by order is permuted again.
 
 Defined results: null and empty texts stay as they are and have no entities. Rows with a null or
 repeated doc_id are replaced like others, equal rows equally. n_chars, where there is one, is the
@@ -210,13 +210,13 @@ class Replacer:
     def __init__(self, key: bytes):
         self.key, self.of, self.taken = key, {}, {}
 
-    def get(self, kind: str, canonical: str, originals: set) -> str:
+    def get(self, kind: str, canonical: str) -> str:
         if (kind, canonical) not in self.of:
             tweak = 0
             while True:
                 new = surrogate(kind, canonical, self.key, tweak)
                 owner = self.taken.get((kind, new))
-                clash = owner not in (None, canonical) or new == canonical or (kind, new) in originals
+                clash = owner not in (None, canonical) or new == canonical
                 if not clash or tweak == 16:
                     break
                 tweak += 1
@@ -225,8 +225,8 @@ class Replacer:
         return self.of[kind, canonical]
 
 
-def name_kinds(words: list[str], gender: str | None) -> list[str]:
-    """The first word is a given name where it is known, or where a second follows."""
+def name_kinds(words: list[str]) -> list[str]:
+    """The first word is a given name where it is known; others are names of no gender."""
     known = GENDER.get(words[0].lower())
     first = f"given|{known[0]}|{known[1]}" if known else "name"
     return [first, *["name"] * (len(words) - 1)]
@@ -238,12 +238,12 @@ def replaced(text: str, key: bytes) -> tuple[str, list[dict]]:
         kind = m.lastgroup if m.lastgroup != "named" else "title"
         if kind == "title":
             start = m.start("named")
-            for word, k in zip(m["named"].split(" "), name_kinds(m["named"].split(" "), None)):
+            for word, k in zip(m["named"].split(" "), name_kinds(m["named"].split(" "))):
                 found.append((k, word, start, start + len(word)))
                 start += len(word) + 1
         elif kind == "person":
             start = m.start()
-            for word, k in zip(m["person"].split(" "), name_kinds(m["person"].split(" "), None)):
+            for word, k in zip(m["person"].split(" "), name_kinds(m["person"].split(" "))):
                 found.append((k, word, start, start + len(word)))
                 start += len(word) + 1
         else:
@@ -252,9 +252,9 @@ def replaced(text: str, key: bytes) -> tuple[str, list[dict]]:
         return text, []
     originals = {(k, canonical_of(k, raw)) for k, raw, *_ in found}
     box, out, at, listed = Replacer(key), [], 0, []
-    # names of the document are resolved in sorted order, so that the check doesn't depend on where they stand
+    # in sorted order, so that the check doesn't depend on where they stand
     for k, c in sorted(originals):
-        box.get(k, c, originals if not k.startswith("given") else set())
+        box.get(k, c)
     for kind, raw, start, end in found:
         new = box.of[kind, canonical_of(kind, raw)]
         if kind == "phone":

@@ -1,0 +1,63 @@
+from itertools import combinations
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from pathloom.llm import common, packing as K
+
+P = K.PackParams()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=9), st.integers(0, 40))
+def test_fill_is_the_best_subset(lengths, room):
+    got = K.fill(np.bincount(lengths, minlength=room + 2), room)
+    best = max((sum(c) for n in range(len(lengths) + 1) for c in combinations(lengths, n) if sum(c) <= room), default=0)
+    assert sum(got) == best
+    left = list(lengths)
+    for n in got:
+        left.remove(n)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=60))
+def test_bins_hold_everything_once(lengths):
+    made = K.bins(np.array(lengths, np.int64), 30)
+    assert sorted(k for b in made for k in b) == list(range(len(lengths)))
+    assert all(0 < sum(lengths[k] for k in b) <= 30 for b in made)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aZé 1,.'\n\t語 \x0b×ßst", max_size=60)), min_size=1, max_size=4))
+def test_token_counts_are_exact(texts):
+    import pyarrow as pa
+
+    encoder = K.textvec.shared("test encoder", lambda: K.encoder(P))
+    assert list(K.token_counts(pa.array(texts, pa.string()), P)) == [len(encoder.encode_ordinary(t)) if t else 0 for t in texts]
+
+
+def test_round_trip(spark):
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    encoder = K.encoder(P)
+    want = {r.doc_id: len(encoder.encode_ordinary(r.text)) + 1 for r in docs.collect() if r.text}
+    rows = K.pack(docs, K.PackParams(docs_per_shard=100)).toPandas()
+    assert (rows.groupby("window_id").n_tokens.sum() <= P.window).all()
+    for doc, own in rows.groupby("doc_id"):
+        own = own.sort_values("first_token")
+        assert (own.first_token.to_numpy() == np.concatenate([[0], own.n_tokens.cumsum()[:-1]])).all() and own.n_tokens.sum() == want.pop(doc)
+    assert not want
+    one = rows.sort_values(["window_id", "position"])
+    assert (one.window_offset == one.groupby("window_id").n_tokens.cumsum() - one.n_tokens).all()
+    total = rows.n_tokens.sum()
+    assert rows.window_id.nunique() <= 1.06 * total / P.window + 3
+
+
+def test_odd_rows(make, odd_rows):
+    docs = make(odd_rows, extra=True)
+    rows = K.pack(docs).collect()
+    with_text = [r for r in odd_rows if r[1]]
+    assert len({(r.window_id, r.position) for r in rows}) == len(rows)
+    assert sum(r.piece == 0 for r in rows) == len(with_text)
+    assert sum(r.doc_id is None and r.piece == 0 for r in rows) == 1 and sum(r.doc_id == 1 for r in rows) == 2
+    assert K.pack(make([])).count() == 0
