@@ -6,21 +6,33 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-EVENT = T.StructType.fromDDL(
+TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType()}
+
+
+def schema(text: str) -> T.StructType:
+    """A flat schema from `name type` pairs; Spark's own parser would need a running session."""
+    return T.StructType([T.StructField(n, TYPES[t]) for n, t in (part.split() for part in text.split(","))])
+
+
+EVENT = schema(
     "event_time string, event_type string, product_id long, category_id long, category_code string, brand string, price double, user_id long, user_session string"
 )
 REQUIRED = ("event_time", "event_type", "product_id", "user_id", "user_session")
-PRODUCT = T.StructType.fromDDL(
+PRODUCT = schema(
     "product_id long, product_name string, brand string, category_id long, category_name string, category_code string, subcategory string, "
     "original_price double, discount_percent int, final_price double, rating double, num_reviews int, in_stock boolean"
 )
-USER = T.StructType.fromDDL(
+USER = schema(
     "user_id long, user_segment string, registration_date date, country string, city string, age_group string, gender string, preferred_language string"
 )
-CATEGORY = T.StructType.fromDDL("category_id long, category_name string, parent_category string, level int, description string")
-METRIC = T.StructType.fromDDL("metric string, value double, description string, analysis_timestamp timestamp")
-RECOMMENDATION = T.StructType.fromDDL(
-    "product_id string, recs array<struct<score: double, product_id: string, p_buy: double, related_score: double>>, updated_at string"
+CATEGORY = schema("category_id long, category_name string, parent_category string, level int, description string")
+METRIC = schema("metric string, value double, description string, analysis_timestamp timestamp")
+RECOMMENDATION = T.StructType(
+    [
+        T.StructField("product_id", TYPES["string"]),
+        T.StructField("recs", T.ArrayType(schema("score double, product_id string, p_buy double, related_score double"))),
+        T.StructField("updated_at", TYPES["string"]),
+    ]
 )
 
 

@@ -11,7 +11,7 @@ from pathloom.sources import generators as G
 from pathloom.sources import testdata as D
 
 I_ = """i AS (SELECT CAST(l_orderkey AS VARCHAR) AS user_session, CAST(l_partkey AS VARCHAR) AS product_id, CASE WHEN l_returnflag = 'R' THEN 'view' ELSE 'purchase' END AS event_type,
-  l_shipdate AS event_ts, l_extendedprice AS price, p_brand AS brand, lower(p_type || '.' || replace(p_brand, '#', '')) AS category_code, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 5.0 END AS weight
+  l_shipdate AS event_ts, l_extendedprice AS price, p_brand AS brand, lower(p_type || '.' || replace(p_brand, '#', '')) AS category_code, CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 5e0 END AS weight
   FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL AND l_shipdate IS NOT NULL)"""
 LATEST = f"{I_}, l AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY user_session ORDER BY event_ts DESC, product_id, event_type) <= 25)"
 ITEMS = f"{LATEST}, w AS (SELECT user_session, product_id, max(weight) AS w_item FROM l GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY user_session) AS n_items FROM w QUALIFY n_items <= 60)"
@@ -121,9 +121,9 @@ def wanted(spark, d):
 
 CATALOG = "c AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS product_name, p_type AS category_name, p_brand AS brand, p_retailprice AS price FROM part)"
 TIERS = f"""{CATALOG}, q AS (SELECT CAST(p_partkey AS VARCHAR) AS product_id FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT 'no such product'), own AS (SELECT q.product_id, category_name, brand FROM q LEFT JOIN c ON id = product_id),
-  t1 AS (SELECT product_id, id, 1 AS tier, 0.85 AS confidence, row_number() OVER (PARTITION BY product_id ORDER BY length(id), id) AS r FROM own JOIN c USING (category_name) WHERE id <> product_id QUALIFY r <= 3),
-  t2 AS (SELECT product_id, id, 2 AS tier, 0.70 AS confidence, row_number() OVER (PARTITION BY product_id ORDER BY length(id), id) AS r FROM own JOIN c USING (brand) WHERE id <> product_id QUALIFY r <= 2),
-  t3 AS (SELECT product_id, id, 3 AS tier, 0.50 AS confidence, row_number() OVER (PARTITION BY product_id ORDER BY length(id), id) AS r FROM q JOIN (SELECT id FROM c ORDER BY length(id), id LIMIT 11) a ON id <> product_id)"""
+  t1 AS (SELECT product_id, id, 1 AS tier, 85e-2 AS confidence, row_number() OVER (PARTITION BY product_id ORDER BY length(id), id) AS r FROM own JOIN c USING (category_name) WHERE id <> product_id QUALIFY r <= 3),
+  t2 AS (SELECT product_id, id, 2 AS tier, 7e-1 AS confidence, row_number() OVER (PARTITION BY product_id ORDER BY length(id), id) AS r FROM own JOIN c USING (brand) WHERE id <> product_id QUALIFY r <= 2),
+  t3 AS (SELECT product_id, id, 3 AS tier, 5e-1 AS confidence, row_number() OVER (PARTITION BY product_id ORDER BY length(id), id) AS r FROM q JOIN (SELECT id FROM c ORDER BY length(id), id LIMIT 11) a ON id <> product_id)"""
 LAST = """once AS (SELECT * FROM {tiers} QUALIFY row_number() OVER (PARTITION BY product_id, id ORDER BY tier, r) = 1),
   best AS (SELECT *, CAST(row_number() OVER (PARTITION BY product_id ORDER BY tier, r, id) AS INTEGER) AS position FROM once QUALIFY position <= 5)"""
 

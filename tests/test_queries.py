@@ -1,0 +1,54 @@
+"""Every registered query of the engine against its SQL on the smallest tables."""
+
+import duckdb
+import pytest
+
+from pathloom.plans import registry
+
+SMALL = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query(spark, duck, name):
+    got = QUERIES[name](spark, SMALL)
+    cols = sorted(got.columns)
+    assert cols == sorted(c[0] for c in duck.execute(f"DESCRIBE {SQL[name]}").fetchall())
+    want = duck.execute(f"SELECT {', '.join(cols)} FROM ({SQL[name]})").fetchall()
+    key = lambda r: tuple((x is None, f"{x:.6f}" if isinstance(x, float) else str(x)) for x in r)
+    assert sorted(map(key, map(tuple, got.select(*cols).collect()))) == sorted(map(key, want))
+
+
+@pytest.mark.parametrize("name", ["q12_random_products", "s13_user_dimension", "s12_generated_sessions"])
+def test_queries_without_sql(spark, name):
+    assert QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    out = entry.entry(spark)
+    assert out.columns == ["metric", "value", "description"] and out.count() == 8
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_engine_doesn_t_need_the_text_subpackage():
+    import re
+    from pathlib import Path
+
+    import pathloom
+
+    root = Path(pathloom.__file__).parent
+    for file in root.rglob("*.py"):
+        if "llm" not in file.parts:
+            assert not re.search(r"^\s*(from|import) .*\bllm\b", file.read_text(), re.M), file
