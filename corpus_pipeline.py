@@ -15,9 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; a document of which nothing is left goes."""
-    cut = line_dedup.deduplicate(docs)
-    return cut.filter("lines_removed = 0 or length(trim(text)) > 0").select(*COLUMNS)
+    """Documents without repeated lines; a document of which only short lines are left goes."""
+    return line_dedup.deduplicate(docs).filter(line_dedup.something_left()).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

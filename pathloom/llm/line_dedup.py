@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import common
@@ -222,6 +222,11 @@ def deduplicate(docs: DataFrame, p: LineDedupParams = LineDedupParams()) -> Data
     return result.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else result
 
 
+def something_left(p: LineDedupParams = LineDedupParams()) -> Column:
+    """Of a result of deduplicate: no line was removed, or one that counts remains. A copy keeps at most its short lines."""
+    return (F.col("lines_removed") == 0) | F.exists(F.split("text", "\n", -1), lambda x: F.length(F.trim(x)) >= p.min_chars)
+
+
 class LineStore:
     """The state, held as two tables in the shared folder; insert and delete return a new state."""
 

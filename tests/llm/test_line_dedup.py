@@ -58,6 +58,13 @@ def test_insert_and_delete_are_inverse(make, spark):
     assert sum((c.slots != 0).sum() for c in slots.values()) == len(live)
 
 
+def test_a_copy_leaves_nothing_that_counts(make):
+    text = "Title\n\nthe first long line of it\nthe second long line of it"
+    rows = [(1, text, "en", "a"), (2, text, "en", "b"), (3, text + "\nand a third line of its own", "en", "b"), (4, "short", "en", "a"), (5, None, "en", "a")]
+    out = D.deduplicate(make(rows))
+    assert {r.doc_id for r in out.filter(D.something_left()).collect()} == {1, 3, 4, 5}
+
+
 def test_odd_rows(make, odd_rows):
     out = D.deduplicate(make(odd_rows, extra=True))
     rows = out.collect()
