@@ -37,6 +37,7 @@ from pathloom.llm import common
 
 SLOTS = 4
 SALT = 0x5A17
+SPACE = " \t\x0b\f\r"
 
 
 @dataclass(frozen=True)
@@ -136,7 +137,7 @@ class Cuckoo:
 
 def lines_of(docs: DataFrame, p: LineDedupParams, shards: int) -> DataFrame:
     """doc_id, h (of the text), pos, shard, k1, k2 of every line that counts; repeated rows once a row."""
-    line = F.trim(F.regexp_replace("__pl_line", r"^\s+|\s+$", ""))
+    line = F.btrim("__pl_line", F.lit(SPACE))
     return (
         docs.filter("doc_id is not null and text is not null")
         .select("doc_id", common.row_key().alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "__pl_line"))
@@ -308,7 +309,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH lines AS (
-  SELECT doc_id, text, i AS pos, trim(regexp_replace(parts[i + 1], '^\s+|\s+$', '', 'g')) AS line
+  SELECT doc_id, text, i AS pos, trim(parts[i + 1], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
   FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents), unnest(range(len(parts))) AS u(i)
 ), marked AS (
   SELECT doc_id, pos, length(line) >= 12 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AS again FROM lines
