@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -24,14 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
     return given or sc.getCheckpointDir()
 
 
+_STORED: list = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there and losing an executor loses nothing."""
+    """df written to the shared folder and read again: lineage ends there and losing an executor loses nothing.
+
+    The tables stay until release() or the end of the driver, as results may still be read from them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pathloom-{uuid.uuid4().hex}"
+    if not _STORED:
+        atexit.register(release)
+    _STORED.append((spark._jvm, spark._jsc.hadoopConfiguration(), path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Deletes the tables that stored() has written."""
+    while _STORED:
+        jvm, conf, path = _STORED.pop()
+        try:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        except Exception:  # noqa: BLE001  the JVM may have ended first
+            return
+
+
 def mapped(df: DataFrame, added: str, make, drop: tuple[str, ...] = ()) -> DataFrame:
     """df and the added columns (DDL), which make() computes from each Arrow batch as {name: array}; `drop` leaves after that.
 
