@@ -135,7 +135,7 @@ class Coder:
 
 def train(docs: DataFrame, p: LanguageParams = LanguageParams()) -> dict[str, list[str]]:
     """The sampled texts by language; at most sample_docs a language reach the driver."""
-    ids = docs.filter("lang is not null and doc_id is not null and n_chars > 0" if "n_chars" in docs.columns else "lang is not null and doc_id is not null").select("doc_id", "lang").distinct()
+    ids = docs.filter("lang is not null and doc_id is not null").filter("coalesce(n_chars, 1) > 0" if "n_chars" in docs.columns else "true").select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= p.sample_docs).select("doc_id", "lang")
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).filter("text is not null").distinct().collect()
