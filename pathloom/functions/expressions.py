@@ -17,6 +17,15 @@ def parse_time(text: Column | str) -> Column:
     return F.coalesce(F.try_to_timestamp(col(text), F.lit("yyyy-MM-dd HH:mm:ss z")), F.try_to_timestamp(col(text)))
 
 
+def text(name: str, out: str | None = None) -> Column:
+    return F.col(name).cast("string").alias(out or name)
+
+
+#: What a product must have to be scored, and how times are written in result tables.
+TRAITS = ["brand", "category_code", "price"]
+WRITTEN = "yyyy-MM-dd'T'HH:mm:ss"
+
+
 def is_type(name: str) -> Column:
     return F.col("event_type") == name
 

@@ -33,7 +33,7 @@ def analytics(events: DataFrame, tables: Collections, cutoff: str, settings: Fea
     ready = E.derived_columns(E.usable_events(events)).persist()
     try:
         features = M.user_features(ready, settings).persist()
-        segments = L.segment_customers(features).rows.select("user_id", "segment", "segment_name", "total_spent", "purchase_count", "customer_value_score")
+        segments = L.segment_customers(features).rows.select(*L.SEGMENT_COLUMNS)
         churn = L.predict_churn(L.churn_rows(ready, cutoff, settings), trees=trees, depth=depth).predictions
         made = {"user_features": features, "customer_segments": segments, "churn_predictions": churn, "time_series": M.daily_trends(M.daily_metrics(ready)), "category_statistics": M.category_statistics(ready)}
         failed = tables.write_all(made)

@@ -71,7 +71,7 @@ def with_date(events: DataFrame) -> DataFrame:
 
 def funnel_events(events: DataFrame) -> DataFrame:
     """What the funnel needs of views, carts and purchases inside a session."""
-    wanted = F.col("event_type").isin("view", "cart", "purchase") & F.col("user_session").isNotNull()
+    wanted = "event_type in ('view', 'cart', 'purchase') and user_session is not null"
     return events.filter(wanted).select("user_session", "user_id", "event_type", "event_timestamp")
 
 
@@ -84,27 +84,27 @@ def interactions(events: DataFrame, s: CooccurrenceSettings = CooccurrenceSettin
     time = X.parse_time(F.col("event_time").cast("string")) if "event_time" in events.columns else F.col("event_timestamp").cast("timestamp")
     have = [c for c in ("brand", "category_code") if c in events.columns]
     out = events.select(
-        F.col("user_session").cast("string").alias("user_session"),
-        F.col("product_id").cast("string").alias("product_id"),
+        X.text("user_session"),
+        X.text("product_id"),
         F.lower(F.col("event_type").cast("string")).alias("event_type"),
         time.alias("event_ts"),
         F.expr("try_cast(price AS double)").alias("price"),
-        *[F.col(c).cast("string").alias(c) for c in have],
+        *[X.text(c) for c in have],
     )
-    complete = F.col("user_session").isNotNull() & F.col("product_id").isNotNull() & F.col("event_ts").isNotNull()
-    weight = F.when(F.col("event_type") == "purchase", F.lit(s.purchase_weight)).otherwise(F.lit(s.view_weight))
-    return out.filter(complete & F.col("event_type").isin("view", "purchase")).withColumn("weight", weight)
+    complete = "user_session is not null and product_id is not null and event_ts is not null"
+    weight = F.when(X.is_type("purchase"), s.purchase_weight).otherwise(s.view_weight)
+    return out.filter(complete).filter("event_type in ('view', 'purchase')").withColumn("weight", weight)
 
 
 def model_rows(events: DataFrame) -> DataFrame:
     """brand, category_code, price and the label is_purchase, complete rows only."""
     rows = events.select(
-        F.col("brand").cast("string").alias("brand"),
-        F.col("category_code").cast("string").alias("category_code"),
+        X.text("brand"),
+        X.text("category_code"),
         F.expr("try_cast(price AS double)").alias("price"),
-        (F.lower("event_type") == "purchase").cast("int").alias("is_purchase"),
+        F.expr("int(lower(event_type) = 'purchase')").alias("is_purchase"),
     )
-    return rows.dropna(subset=["brand", "category_code", "price", "is_purchase"])
+    return rows.dropna(subset=[*X.TRAITS, "is_purchase"])
 
 
 def sample_rows(df: DataFrame, rows: int, seed: int = 42, key: str | None = None) -> DataFrame:

@@ -111,7 +111,7 @@ def daily_trends(daily: DataFrame) -> DataFrame:
     """Moving averages over the last 7 and 3 rows, the row before and growth over it (0 without a positive one).
 
     Frames count rows: a missing day isn't filled in, see with_all_days."""
-    days = Window.partitionBy("event_type").orderBy("date")
+    days = Window.orderBy("date").partitionBy("event_type")
     last = lambda n: days.rowsBetween(1 - n, 0)
     out = daily.withColumns(
         {

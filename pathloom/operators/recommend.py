@@ -24,7 +24,7 @@ def latest_per_session(interactions: DataFrame, s: CooccurrenceSettings = Cooccu
 
 
 def item_weights(interactions: DataFrame) -> DataFrame:
-    return interactions.groupBy("user_session", "product_id").agg(F.max("weight").alias("w_item"))
+    return interactions.groupBy(["user_session", "product_id"]).agg(F.expr("max(weight)").alias("w_item"))
 
 
 def bounded_sessions(items: DataFrame, s: CooccurrenceSettings = CooccurrenceSettings()) -> DataFrame:
@@ -32,11 +32,15 @@ def bounded_sessions(items: DataFrame, s: CooccurrenceSettings = CooccurrenceSet
     return items.withColumn("n_items", F.count(F.lit(1)).over(Window.partitionBy("user_session"))).filter(F.col("n_items") <= s.items_per_session)
 
 
+def session_pairs(items: DataFrame) -> DataFrame:
+    """product_a < product_b in one session with their weights. Both sides of the join share one shuffle."""
+    side = lambda x: items.selectExpr("user_session", f"product_id AS product_{x}", f"w_item AS w_{x}")
+    return side("a").join(side("b"), "user_session").filter("product_a < product_b")
+
+
 def pair_scores(items: DataFrame) -> DataFrame:
-    """product_a < product_b and the sum over sessions of both weights. Both sides of the join share one shuffle."""
-    a, b = items.alias("a"), items.alias("b")
-    pairs = a.join(b, (F.col("a.user_session") == F.col("b.user_session")) & (F.col("a.product_id") < F.col("b.product_id")))
-    return pairs.groupBy(F.col("a.product_id").alias("product_a"), F.col("b.product_id").alias("product_b")).agg(F.sum(F.col("a.w_item") + F.col("b.w_item")).alias("related_score"))
+    """The sum over sessions of both weights, for each pair."""
+    return session_pairs(items).groupBy("product_a", "product_b").agg(F.expr("sum(w_a + w_b)").alias("related_score"))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -53,9 +57,9 @@ def candidates(interactions: DataFrame, s: CooccurrenceSettings = CooccurrenceSe
 
 def product_features(interactions: DataFrame) -> DataFrame:
     """brand, category_code and price of each product from its latest complete event."""
-    rows = interactions.dropna(subset=["brand", "category_code", "price"])
-    latest = F.max(F.struct("event_ts", "brand", "category_code", "price")).alias("m")
-    return rows.groupBy("product_id").agg(latest).select("product_id", "m.brand", "m.category_code", "m.price")
+    rows = interactions.dropna(subset=X.TRAITS)
+    latest = F.max(F.struct("event_ts", *X.TRAITS)).alias("m")
+    return rows.groupBy("product_id").agg(latest).select("product_id", *[f"m.{c}" for c in X.TRAITS])
 
 
 def frequent_values(df: DataFrame, column: str, k: int = 200) -> DataFrame:
@@ -72,7 +76,7 @@ def bucket_rare(df: DataFrame, column: str, vocabulary: DataFrame, other: str) -
 
 def candidate_features(cands: DataFrame, features: DataFrame) -> DataFrame:
     """Candidates with complete features of the candidate; others are left out."""
-    right = features.dropna(subset=["brand", "category_code", "price"]).withColumnRenamed("product_id", "cand_product_id")
+    right = features.dropna(subset=X.TRAITS).withColumnRenamed("product_id", "cand_product_id")
     return cands.join(right, "cand_product_id")
 
 
@@ -90,18 +94,17 @@ def top_recommendations(scored: DataFrame, s: RankSettings = RankSettings()) ->
 
 def recommendation_lists(ranked: DataFrame, updated_at: Column | None = None) -> DataFrame:
     """One row a product: its recommendations as structs, best first; equal scores by the larger id."""
-    entry = F.struct("score", F.col("cand_product_id").alias("product_id"), "p_buy", "related_score")
-    out = ranked.groupBy("product_id").agg(F.sort_array(F.collect_list(entry), asc=False).alias("recs"))
+    entry = F.expr("named_struct('score', score, 'product_id', cand_product_id, 'p_buy', p_buy, 'related_score', related_score)")
+    listed = F.collect_list(entry)
+    out = ranked.groupBy("product_id").agg(F.sort_array(listed, asc=False).alias("recs"))
     stamp = F.current_timestamp() if updated_at is None else updated_at
-    return out.withColumn("updated_at", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"))
+    return out.withColumn("updated_at", F.date_format(stamp, X.WRITTEN))
 
 
 def product_affinity(interactions: DataFrame, s: CooccurrenceSettings = CooccurrenceSettings()) -> DataFrame:
     """Scores of unordered pairs together with the sessions that hold both."""
     items = bounded_sessions(item_weights(latest_per_session(interactions, s)), s)
-    a, b = items.alias("a"), items.alias("b")
-    pairs = a.join(b, (F.col("a.user_session") == F.col("b.user_session")) & (F.col("a.product_id") < F.col("b.product_id")))
-    return pairs.groupBy(F.col("a.product_id").alias("product_a"), F.col("b.product_id").alias("product_b")).agg(F.count(F.lit(1)).alias("sessions"), F.sum(F.col("a.w_item") + F.col("b.w_item")).alias("related_score"))
+    return session_pairs(items).groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("sessions"), F.expr("sum(w_a + w_b)").alias("related_score"))
 
 
 def first_seen(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -116,7 +119,7 @@ def stored_recommendations(recs: DataFrame, catalog: DataFrame, wanted: DataFram
     asked = recs.join(X.small_side(wanted.select("product_id").distinct()), "product_id", "left_semi")
     flat = asked.select("product_id", F.posexplode(F.slice("recs", 1, top_n)).alias("rank", "r"))
     items = flat.select("product_id", "rank", F.col("r.product_id").alias("rec_product_id"), F.coalesce(F.round("r.score", 2), F.lit(0.8)).alias("confidence"))
-    names = catalog.select(F.col("product_id").cast("string").alias("rec_product_id"), "product_name", "category_name", "brand", "price")
+    names = catalog.select(X.text("product_id", "rec_product_id"), "product_name", "category_name", "brand", "price")
     joined = items.join(names, "rec_product_id", "left")
     return joined.select(
         "product_id", "rec_product_id", F.coalesce("product_name", F.lit("Unknown")).alias("product_name"), F.coalesce("category_name", F.lit("")).alias("category_name"),
@@ -129,9 +132,9 @@ def heuristic_recommendations(catalog: DataFrame, wanted: DataFrame, top_n: int,
 
     An unknown product gets any. `Any` goes by id, or by a seeded hash. The pick of each tier is
     made once for each category and brand that is asked for, so the work follows the catalogue, not wanted times catalogue."""
-    items = catalog.select(F.col("product_id").cast("string").alias("rec_product_id"), "product_name", "category_name", "brand", "price")
+    items = catalog.select(X.text("product_id", "rec_product_id"), "product_name", "category_name", "brand", "price")
     order = F.xxhash64("rec_product_id", F.lit(seed)) if seed is not None else F.length("rec_product_id")
-    own = wanted.select(F.col("product_id").cast("string").alias("product_id")).distinct()
+    own = wanted.select(X.text("product_id")).distinct()
     mine = own.join(items.select(F.col("rec_product_id").alias("product_id"), "category_name", "brand"), "product_id", "left")
 
     def tier(by: str, n: int, level: int, confidence: float) -> DataFrame:
@@ -155,7 +158,7 @@ def first_tiers(recs: DataFrame, top_n: int) -> DataFrame:
 
 def recommendations(recs: DataFrame, catalog: DataFrame, wanted: DataFrame, top_n: int = 5) -> DataFrame:
     """Stored ones first, filled up by the heuristic without repeating a product; a product without any gets all from the heuristic."""
-    wanted = wanted.select(F.col("product_id").cast("string").alias("product_id"))
+    wanted = wanted.select(X.text("product_id"))
     stored = stored_recommendations(recs, catalog, wanted, top_n)
     fill = heuristic_recommendations(catalog, wanted, top_n).withColumnRenamed("position", "rank")
     return first_tiers(stored.unionByName(fill.select(*stored.columns)), top_n)

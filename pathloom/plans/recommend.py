@@ -81,7 +81,7 @@ def frequent_values(spark, d):
     SELECT product_id, coalesce(value, 'OTHER_BRAND') AS brand, category_code, price FROM f LEFT JOIN v ON f.brand = value""",
 )
 def bucketed_values(spark, d):
-    return R.bucket_rare(features(spark, d), "brand", frequent_values(spark, d), "OTHER_BRAND").select("product_id", "brand", "category_code", "price")
+    return R.bucket_rare(features(spark, d), "brand", frequent_values(spark, d), "OTHER_BRAND").select("product_id", *R.X.TRAITS)
 
 
 @query("j6_candidate_features", f"WITH {JOINED} SELECT * FROM j")
@@ -115,7 +115,7 @@ def catalog(spark, d):
 
 def wanted(spark, d):
     """Every fiftieth product, and one that isn't there."""
-    some = D.products(spark, d).filter("product_id % 50 = 0").select(F.col("product_id").cast("string").alias("product_id"))
+    some = D.products(spark, d).filter("product_id % 50 = 0").select(R.X.text("product_id"))
     return some.unionByName(spark.createDataFrame([("no such product",)], "product_id string"))
 
 
@@ -159,7 +159,7 @@ def first_seen(spark, d):
 
 @query("u5_new_items_only", f"WITH {FEATURES} SELECT CAST(p_partkey AS VARCHAR) AS product_id FROM part WHERE CAST(p_partkey AS VARCHAR) NOT IN (SELECT product_id FROM k)")
 def new_items(spark, d):
-    return catalog(spark, d).select(F.col("product_id").cast("string").alias("product_id")).join(candidates(spark, d).select("product_id").distinct(), "product_id", "left_anti")
+    return catalog(spark, d).select(R.X.text("product_id")).join(candidates(spark, d).select("product_id").distinct(), "product_id", "left_anti")
 
 
 @query(
@@ -169,10 +169,10 @@ def new_items(spark, d):
     FROM f JOIN part ON p_partkey = product_id""",
 )
 def product_catalog(spark, d):
-    parts = D.products(spark, d).select("product_id", "brand", "category_code")
+    parts = D.products(spark, d).select("product_id", *R.X.TRAITS[:2])
     lines = D.table(spark, d, "lineitem").select(F.col("l_partkey").alias("product_id"), F.col("l_extendedprice").alias("price"), "l_shipdate", "l_orderkey", "l_linenumber").join(parts, "product_id")
     made = G.product_catalog(lines, ["l_shipdate", "l_orderkey", "l_linenumber"])
-    return made.select("product_id", "brand", "category_code", "category_name", "subcategory", "original_price")
+    return made.select("product_id", "category_code", "brand", "category_name", "subcategory", "original_price")
 
 
 @query("s13_user_dimension")

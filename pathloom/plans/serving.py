@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pathloom.operators import metrics as M
 from pathloom.operators import serving as Q
+from pathloom.operators.learning import SEGMENT_NAMES
 from pathloom.plans import events as P
 from pathloom.plans.recommend import catalog
 from pathloom.plans.registry import SQL, query, rounded
@@ -24,8 +25,8 @@ def metric_runs(spark, d):
 
 def value_segments(spark, d):
     """Users by value with names, a rule in place of the clusters so that SQL can repeat it."""
-    name = F.when(F.col("purchase_count") >= 16, "Champions").when(F.col("purchase_count") >= 12, "Potential Loyalists").when(F.col("purchase_count") >= 8, "At Risk").otherwise("New/Low Engagement")
-    return P.featured(spark, d).withColumn("segment_name", name).select("user_id", "segment_name", "total_spent", "purchase_count", "customer_value_score")
+    name = F.when(F.col("purchase_count") >= 16, "Champions").when(F.col("purchase_count") >= 12, "Potential Loyalists").when(F.col("purchase_count") >= 8, "At Risk").otherwise(SEGMENT_NAMES[3])
+    return P.featured(spark, d).withColumn("segment_name", name).select("user_id", "segment_name", "customer_value_score", "total_spent", "purchase_count")
 
 
 SEGMENTS = f"""{P.FEATURES}, sg AS (SELECT user_id, CASE WHEN purchase_count >= 16 THEN 'Champions' WHEN purchase_count >= 12 THEN 'Potential Loyalists' WHEN purchase_count >= 8 THEN 'At Risk' ELSE 'New/Low Engagement' END AS segment_name,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.model import CATEGORY
+from pathloom.model import CATEGORY, PRODUCT
 from pathloom.operators.recommend import first_seen
 
 
@@ -62,7 +62,7 @@ def product_catalog(events: DataFrame, order: list[str], seed: int = 42) -> Data
             "category_name": F.initcap(main),
             "subcategory": F.when(dotted, parts[1]).otherwise(""),
             "original_price": F.col("price"),
-            "discount_percent": pick(u(3), [0, 5, 10, 15, 20, 25], [0.5, 0.2, 0.15, 0.1, 0.03, 0.02]),
+            "discount_percent": pick(u(3), list(range(0, 26, 5)), [n / 100 for n in (50, 20, 15, 10, 3, 2)]),
             "rating": F.round(3.0 + 2.0 * u(4), 1),
             "num_reviews": F.floor(u(5) * 1000).cast("int"),
             "in_stock": u(6) < 0.85,
@@ -70,16 +70,13 @@ def product_catalog(events: DataFrame, order: list[str], seed: int = 42) -> Data
     )
     cut = F.round(F.col("original_price") * F.col("discount_percent") / 100, 2)
     name = F.concat_ws(" ", "brand", "category_name", F.lit("Model"), (F.floor(u(7) * 900) + 100).cast("string"))
-    return out.select(
-        "product_id", name.alias("product_name"), "brand", "category_id", "category_name", "category_code", "subcategory", "original_price", "discount_percent",
-        F.round(F.col("original_price") - cut, 2).alias("final_price"), "rating", "num_reviews", "in_stock",
-    )
+    return out.withColumns({"product_name": name, "final_price": F.round(F.col("original_price") - cut, 2)}).select(*PRODUCT.fieldNames())
 
 
 def minimal_catalog(spark: SparkSession, n: int = 1000, seed: int = 42) -> DataFrame:
     u = uniform(seed, "product_id")
     return spark.range(1, n + 1).withColumnRenamed("id", "product_id").select(
-        "product_id", F.concat(F.lit("Product "), F.col("product_id").cast("string")).alias("product_name"), pick(u, ["Electronics", "Clothing", "Home", "Sports"]).alias("category_name"),
+        "product_id", F.concat(F.lit("Product "), "product_id").alias("product_name"), pick(u, ["Electronics", "Clothing", "Home", "Sports"]).alias("category_name"),
         F.lit("electronics.smartphone").alias("category_code"), F.lit("smartphone").alias("subcategory"),
     )
 

@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions import expressions as X
 
-def partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("event_date", "event_type"), mode: str = "append") -> None:
+
+def partitioned(df: DataFrame, path: str, by=("event_date", "event_type"), mode="append") -> None:
     """Folders by value; rows of one folder are gathered first, so that a task doesn't open a file in each."""
     df.repartition(*by).write.mode(mode).partitionBy(*by).parquet(path)
 
@@ -35,7 +37,7 @@ def upsert(new: DataFrame, path: str, key: list[str], stamp: str | None = "updat
     """Replaces rows of a Parquet folder by key. The new version is written beside the old and then put in its place."""
     spark = new.sparkSession
     if stamp and stamp not in new.columns:
-        new = new.withColumn(stamp, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+        new = new.withColumn(stamp, F.date_format(F.current_timestamp(), X.WRITTEN))
     place = spark._jvm.org.apache.hadoop.fs.Path
     files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
     rows = merged(spark.read.parquet(path), new, key) if files.exists(place(path)) else new

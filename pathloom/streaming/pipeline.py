@@ -57,12 +57,12 @@ def keyed_sessions(events: DataFrame, s: StreamSettings) -> DataFrame:
     """Session metrics whose state ends: a session's key is kept within windows of inactivity, so late returns begin a new part."""
     watched = events.withWatermark("event_timestamp", s.window.watermark)
     gap = F.session_window("event_timestamp", s.session_idle)
-    bought = F.when(F.col("event_type") == "purchase", F.col("price"))
+    bought = F.when(sessions.X.is_type("purchase"), F.col("price"))
     out = watched.groupBy(gap.alias("w"), *sessions.KEY).agg(
         F.min("event_timestamp").alias("session_start"),
         F.max("event_timestamp").alias("session_end"),
         F.count(F.lit(1)).alias("total_events"),
-        *[F.count_if(F.col("event_type") == t).alias(f"{t}_count") for t in ("view", "cart", "purchase", "remove_from_cart")],
+        *[sessions.X.count_type(t).alias(f"{t}_count") for t in ("view", "cart", "purchase", "remove_from_cart")],
         F.approx_count_distinct("product_id").alias("unique_products"),
         F.sum("price").alias("gross_price_sum"),
         F.sum(bought).alias("total_amount"),
