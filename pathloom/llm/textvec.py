@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 P = 0x9E3779B97F4A7C15
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1_000_000
 
 
 def shared(key, make):
