@@ -52,11 +52,22 @@ def release() -> None:
             return
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold at most BATCH_BYTES: a task holds a few at once, on the JVM's side and on Python's."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def mapped(df: DataFrame, added: str, make, drop: tuple[str, ...] = ()) -> DataFrame:
     """df and the added columns (DDL), which make() computes from each Arrow batch as {name: array}; `drop` leaves after that.
 
     make() is called once a task and returns the function for the batches.
     """
+    bounded_batches(df.sparkSession)
     schema = extended(df, added)
     names = [f.name.lower() for f in T.StructType.fromDDL(added)]
     schema = T.StructType([f for f in schema if f.name.lower() in names or f.name.lower() not in drop])

@@ -118,6 +118,7 @@ def signatures(docs: DataFrame, p: NearParams) -> DataFrame:
                     names=["doc_id", "sig", "buckets"],
                 )
 
+    common.bounded_batches(docs.sparkSession)
     return docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, sig binary, buckets array<long>")
 
 

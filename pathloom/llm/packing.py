@@ -209,6 +209,7 @@ def lengths(docs: DataFrame, p: PackParams, shards: int) -> DataFrame:
             some = pa.array(n > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n + 1)], names=["doc_id", "h", "n"]).filter(some)
 
+    common.bounded_batches(docs.sparkSession)
     counted = docs.filter("length(text) > 0").select("doc_id", common.row_key().alias("h"), "text").mapInArrow(run, "doc_id long, h long, n long")
     return counted.withColumn("shard", F.pmod(F.xxhash64("doc_id", "h"), F.lit(shards)).cast("int"))
 
