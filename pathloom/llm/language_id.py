@@ -108,7 +108,6 @@ class Coder:
         total = np.zeros((len(offsets) - 1, len(self.names)))
         if not len(data):
             return total
-        waiting = np.ones(len(data), bool)
 
         def add(at, costs):
             if len(at):
@@ -116,28 +115,34 @@ class Coder:
                 start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
                 total[rows[start]] += np.add.reduceat(costs, start, axis=0, dtype=np.float64)
 
+        at, value = grams(data, offsets, self.order)
         for k in range(self.order, -1, -1):
-            at, value = grams(data, offsets, k)
-            open_ = waiting[at]
-            if not open_.all():
-                at, value = at[open_], value[open_]
             found = self.strings[k].get(textvec.mix(value + np.uint64(k + 1)))
             hit = found >= 0
             add(at[hit], self.costs[k][found[hit]])
-            waiting[at[hit]] = False
             at, value = at[~hit], value[~hit]
             known = self.contexts[k].get(textvec.mix((value >> np.uint64(8)) + np.uint64(k + 1)))
             add(at[known >= 0], self.escapes[k][known[known >= 0]])
-        rest = np.flatnonzero(waiting)
-        add(rest, np.full((len(rest), len(self.names)), 8.0, np.float32))
+            if k:  # one byte less of context; the k-th byte of each text now has all the context that there is
+                first = offsets[:-1][np.diff(offsets) >= k]
+                begin = np.zeros(len(first), np.uint64)
+                for j in range(k):
+                    begin = (begin << np.uint64(8)) | data[first + j].astype(np.uint64)
+                at = np.concatenate([at, first + (k - 1)])
+                value = np.concatenate([value & np.uint64((1 << 8 * k) - 1), begin])
+                order = np.argsort(at)
+                at, value = at[order], value[order]
+        add(at, np.full((len(at), len(self.names)), 8.0, np.float32))
         return total
 
 
 def train(docs: DataFrame, p: LanguageParams = LanguageParams()) -> dict[str, list[str]]:
-    """The sampled texts by language; at most sample_docs a language reach the driver."""
-    ids = docs.filter("lang is not null and doc_id is not null").filter("coalesce(n_chars, 1) > 0" if "n_chars" in docs.columns else "true").select("doc_id", "lang").distinct()
+    """The sampled texts by language; at most sample_docs a language reach the driver.
+
+    The limit by rank holds in each task before the shuffle, so ids and languages stay where they are."""
+    ids = docs.filter("lang is not null and doc_id is not null").filter("coalesce(n_chars, 1) > 0" if "n_chars" in docs.columns else "true").select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= p.sample_docs).select("doc_id", "lang")
+    chosen = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= p.sample_docs).select("doc_id", "lang").distinct()
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).filter("text is not null").distinct().collect()
     out: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text)):
