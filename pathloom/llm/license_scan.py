@@ -1,10 +1,12 @@
 """Licence scan by sentences and rules.
 
 A text is cut into sentences; a sentence that runs over line ends is read once as a whole and
-once line by line. Each is normalised to lower-case words and mapped to the identifier of a known
-licence sentence. The identifiers, in order, form the document's sequence; a rule is an ordered
-list of identifiers that must occur in that order, others may stand between. A licence is reported
-once, by its first rule that matches (full text before header, header before mention).
+once line by line. Known sentences with a mark inside after which a text is cut (SPDX lines, GPL and
+MPL headers) are found before that and kept in one piece. Each sentence is normalised to lower-case
+words and mapped to the identifier of a known licence sentence. The identifiers, in order, form the
+document's sequence; a rule is an ordered list of identifiers that must occur in that order, others
+may stand between. A licence is reported once, by its first rule that matches (full text before
+header, header before mention).
 
 Everything happens inside a row: no shuffle, and texts in which no word stands that every known
 sentence has one of are dropped first.
@@ -90,6 +92,22 @@ def plain(text: str) -> str:
 KNOWN = {plain(s): k for k, forms in SENTENCES.items() for s in forms}
 
 
+def inner() -> list[str]:
+    """Known sentences that the cut at marks would leave in pieces, none of which is known for the same."""
+    import re
+
+    cut = {s: re.split(r"(?<=[.!?:;])\s+", s) for forms in SENTENCES.values() for s in forms}
+    return [s for s, parts in cut.items() if len(parts) > 1 and KNOWN[plain(s)] not in {KNOWN.get(plain(x)) for x in parts}]
+
+
+def whole(text: Column) -> Column:
+    """text, paragraphs ending in \\u0001, with each sentence of inner() in its normal form, which has no marks or line ends."""
+    for s in inner():
+        words = r"[^A-Za-z0-9\x{1}]+".join(plain(s).split(" "))
+        text = F.regexp_replace(text, rf"(?i)(?<![A-Za-z0-9]){words}(?=[^A-Za-z0-9\x{{1}}]*?(?:[\n\x{{1}}]|[.!?:;]\s|\z))", plain(s))
+    return text
+
+
 def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
@@ -97,7 +115,7 @@ def normal(sentence: Column) -> Column:
 def sequence(text: Column) -> Column:
     """The identifiers of known sentences, in reading order: a sentence over several lines, then its lines."""
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    marked = F.regexp_replace(F.regexp_replace(text, r"\n[ \t]*\n", "\u0001"), r"([.!?:;])\s+", "$1\u0001")
+    marked = F.regexp_replace(whole(F.regexp_replace(text, r"\n[ \t]*\n", "\u0001")), r"([.!?:;])\s+", "$1\u0001")
     readings = F.flatten(F.transform(F.split(marked, "\u0001"), lambda s: F.when(F.contains(s, F.lit("\n")), F.concat(F.array(s), F.split(s, "\n"))).otherwise(F.array(s))))
     return F.filter(F.transform(readings, lambda s: known[normal(s)]), lambda x: x.isNotNull())
 

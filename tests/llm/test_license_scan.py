@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from pathloom.llm import license_scan as L
 
 MIT = L.SENTENCES["mit_grant"][0] + "\n\n" + L.SENTENCES["mit_notice"][0] + "\n\n" + L.SENTENCES["as_is"][0]
@@ -34,3 +36,19 @@ def test_odd_rows(make, odd_rows):
     got = L.scan(make(rows, extra=True)).collect()
     assert sorted((r.doc_id or 0, r.licence, r.n_sentences) for r in got) == [(0, "Apache-2.0", 1), (50, "Apache-2.0", 1), (50, "Apache-2.0", 1)]
     assert L.scan(make([])).count() == 0
+
+
+def test_every_sentence_and_rule_is_found_in_its_own_text(make):
+    forms = [(k, s) for k, v in L.SENTENCES.items() for s in v]
+    ways = [lambda s: s, lambda s: "Some title\n// " + s + "\nint x = 1", lambda s: "One word. " + s.replace(" ", "\n * ") + "\nmore text"]
+    texts = [w(s) for _, s in forms for w in ways[:2]] + [ways[2](s) for k, s in forms if s in L.inner()]
+    want = [k for k, _ in forms for _ in ways[:2]] + [k for k, s in forms if s in L.inner()]
+    got = make([(k, t, "en", "a") for k, t in enumerate(texts)]).select("doc_id", L.sequence(F.col("text")).alias("ids")).collect()
+    assert [(texts[r.doc_id], r.ids) for r in got if want[r.doc_id] not in r.ids] == []
+    rules = [(a, b, "\n".join(L.SENTENCES[k][-1] for k in needs)) for a, b, needs in L.RULES]
+    assert found(make, *[t for *_, t in rules]) == {(k, a): b for k, (a, b, _) in enumerate(rules)}
+
+
+def test_pieces_and_longer_sentences_are_no_inner_sentence(make):
+    spdx = "SPDX-License-Identifier: "
+    assert found(make, spdx + "MIT-0", spdx + "\n\nMIT", spdx + "MIT License", spdx + "Apache-2.0 WITH LLVM-exception") == {(2, "MIT"): "title"}
