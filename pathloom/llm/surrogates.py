@@ -67,8 +67,8 @@ ENTITY = re.compile(
     """,
     re.VERBOSE,
 )
-#: Texts without any of these have no entity.
-HINT = r"@|\d|\b(?:" + "|".join(sorted({x for v in TITLES.values() for x in v} | {n for v in GIVEN.values() for n in v})) + ")[. ]"
+#: Texts without any of these have no entity. Arrow's \b knows ASCII only, so names stand without bounds.
+HINT = r"@|\d|(?:" + "|".join(sorted({x for v in TITLES.values() for x in v} | {n for v in GIVEN.values() for n in v})) + ")[. ]"
 
 
 @dataclass(frozen=True)

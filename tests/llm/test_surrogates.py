@@ -75,3 +75,10 @@ def test_odd_rows(make, odd_rows):
     assert len(replaced) == 1 and all(r.text is None or r.n_chars == len(r.text) for r in rows)
     assert sorted((r.doc_id or 0, r.text or "") for r in rows if not r.pii) == sorted((i or 0, t or "") for i, t, *_ in odd_rows)
     assert S.replace(make([])).count() == 0
+
+
+def test_texts_that_hold_nothing_but_a_name_are_looked_at(make):
+    texts = ["Анна Иванова пришла домой", "он видел: Иван Петров", "Госпожа Петрова ушла", "Γεώργιος Παππάς ήρθε", "Κυρία Παππά ήρθε", "Доктор Жуков здесь", "Frau Müller kam"]
+    rows = S.replace(make([(k, t, "ru", "a") for k, t in enumerate(texts)])).collect()
+    assert [texts[r.doc_id] for r in rows if not r.pii or r.text == texts[r.doc_id]] == []
+    assert {r.doc_id: r.text for r in rows} == {k: S.replaced(t, S.PiiParams().key)[0] for k, t in enumerate(texts)}
