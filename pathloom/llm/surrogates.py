@@ -2,8 +2,9 @@
 
 Entities are e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers, and
 personal names (after a title, or a known given name before a capitalised word). The surrogate of
-an entity is a keyed permutation of its canonical form: a Feistel network over exactly the forms of
-the same type and format, walked until it ends inside them. So one entity has one surrogate
+an entity is a keyed permutation of its canonical form: a step along one cycle through exactly the
+forms of the same type and format, ordered by a Feistel network that is walked until it ends inside
+them. A cycle has no fixed points, so no entity stands for itself. One entity has one surrogate
 wherever it stands, in any document and on any executor, and two never share one, without a table
 of entities. What is kept, by type:
 
@@ -14,10 +15,10 @@ of entities. What is kept, by type:
     name     title, gender, script, capitals; known given names become others of their gender and
              script, other words get letters of their script, vowels for vowels
 
-Case and punctuation follow the original (EVA for EVA), but don't tell entities apart. Two checks
-guard what the permutation can't: an entity that would stand for itself is permuted again with a
-tweak, the same one everywhere; and in every document the surrogates are held against each other,
-so that if two entities came to one, the later by order is permuted again.
+Case and punctuation follow the original (EVA for EVA), but don't tell entities apart. A form without
+a letter or digit that can be moved (an e-mail address in Cyrillic, a name of one accented letter)
+stays. As a guard, in every document the surrogates are held against each other; if two entities came
+to one, the later by order would be permuted again.
 
 Defined results: null and empty texts stay as they are and have no entities. Rows with a null or
 repeated doc_id are replaced like others, equal rows equally. n_chars, where there is one, is the
@@ -76,20 +77,31 @@ class PiiParams:
     key: bytes = b"pathloom-default-key: replace in production"
 
 
-def permuted(n: int, size: int, key: bytes, label: str) -> int:
-    """A keyed permutation of range(size): eight Feistel rounds over the next even number of bits, walked back into range."""
-    half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
+def feistel(n: int, half: int, size: int, key: bytes, label: str, back: bool = False) -> int:
+    """Eight Feistel rounds over numbers of two halves, or their inverse."""
     mask = (1 << half) - 1
+    a, b = n >> half, n & mask
+    for r in reversed(range(8)) if back else range(8):
+        f = hashlib.blake2b(f"{label}|{size}|{r}|{a if back else b}".encode(), key=key[:64], digest_size=(half + 7) // 8 + 4).digest()
+        f = int.from_bytes(f, "big") & mask
+        a, b = (b ^ f, a) if back else (b, a ^ f)
+    return a << half | b
+
+
+def permuted(n: int, size: int, key: bytes, label: str, back: bool = False) -> int:
+    """A keyed permutation of range(size), or its inverse: a Feistel network over the next even number of bits, walked back into range."""
+    half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
     while True:
-        a, b = n >> half, n & mask
-        for r in range(8):
-            f = hashlib.blake2b(f"{label}|{size}|{r}|{b}".encode(), key=key[:64], digest_size=(half + 7) // 8 + 4).digest()
-            a, b = b, a ^ (int.from_bytes(f, "big") & mask)
-        n = a << half | b
+        n = feistel(n, half, size, key, label, back)
         if n < size:
             return n
 
 
+def stepped(n: int, size: int, key: bytes, label: str) -> int:
+    """The next of range(size) on a keyed cycle through all of it: a permutation in which nothing stays (but in a range of one)."""
+    return permuted((permuted(n, size, key, label, back=True) + 1) % size, size, key, label)
+
+
 def lettered(text: str, alphabets: list[str], key: bytes, label: str) -> str:
     """text with each character moved inside the alphabet that holds it, all places together; others stay."""
     where = [next((a for a in alphabets if ch in a), None) for ch in text]
@@ -101,7 +113,7 @@ def lettered(text: str, alphabets: list[str], key: bytes, label: str) -> str:
     if size == 1:
         return text
     shape = "".join("." if a is None else chr(97 + alphabets.index(a)) for a in where)
-    number = permuted(number, size, key, f"{label}|{shape}|{''.join(c for c, a in zip(text, where) if a is None)}")
+    number = stepped(number, size, key, f"{label}|{shape}|{''.join(c for c, a in zip(text, where) if a is None)}")
     out = []
     for ch, a in zip(reversed(text), reversed(where)):
         if a:
@@ -113,7 +125,7 @@ def lettered(text: str, alphabets: list[str], key: bytes, label: str) -> str:
 
 
 def walked(value: str, step, inside) -> str:
-    """step applied until the result is inside exactly as the value is."""
+    """step applied until the result is inside exactly as the value is; a step along one cycle stays one on those values."""
     same, out = inside(value), step(value)
     while inside(out) != same:
         out = step(out)
@@ -156,7 +168,7 @@ def surrogate(kind: str, canonical: str, key: bytes, tweak: int = 0) -> str:
         return f"{country}|{moved}"
     if kind == "ipv4":
         n = sum(int(o) << 8 * (3 - k) for k, o in enumerate(canonical.split(".")))
-        n = int(walked(str(n), lambda x: str(permuted(int(x), 1 << 32, key, label)), network))
+        n = int(walked(str(n), lambda x: str(stepped(int(x), 1 << 32, key, label)), network))
         return ".".join(str(n >> 8 * (3 - k) & 255) for k in range(4))
     if kind == "card":
         if luhn(canonical):
@@ -166,7 +178,7 @@ def surrogate(kind: str, canonical: str, key: bytes, tweak: int = 0) -> str:
     if kind.startswith("given"):
         _, gender, script = kind.split("|")
         pool = [n.lower() for n in GIVEN[gender, script]]
-        return pool[permuted(pool.index(canonical), len(pool), key, label)]
+        return pool[stepped(pool.index(canonical), len(pool), key, label)]
     script = script_of(canonical)
     return lettered(canonical, list(VOWELS[script]), key, f"{label}|{script}")
 
@@ -216,8 +228,7 @@ class Replacer:
             while True:
                 new = surrogate(kind, canonical, self.key, tweak)
                 owner = self.taken.get((kind, new))
-                clash = owner not in (None, canonical) or new == canonical
-                if not clash or tweak == 16:
+                if owner in (None, canonical) or tweak == 16:
                     break
                 tweak += 1
             self.of[kind, canonical] = new

@@ -82,3 +82,27 @@ def test_texts_that_hold_nothing_but_a_name_are_looked_at(make):
     rows = S.replace(make([(k, t, "ru", "a") for k, t in enumerate(texts)])).collect()
     assert [texts[r.doc_id] for r in rows if not r.pii or r.text == texts[r.doc_id]] == []
     assert {r.doc_id: r.text for r in rows} == {k: S.replaced(t, S.PiiParams().key)[0] for k, t in enumerate(texts)}
+
+
+def test_no_entity_stands_for_itself_or_shares_a_surrogate_across_documents():
+    forms = {f"given|{g}|{c}": [n.lower() for n in pool] for (g, c), pool in S.GIVEN.items()}
+    forms |= {"name": [a + b for a in S.VOWELS["latin"][1] for b in S.VOWELS["latin"][0]], "email": [f"{a}@{b}.de" for a in "abcdefghijkl" for b in "mnopqrstuvwx"]}
+    forms |= {"phone": [f"1|{n:03d}" for n in range(1000)], "card": [f"4{n:03d}" for n in range(1000)], "ipv4": [f"10.0.{k}.1" for k in range(20)]}
+    for key in (b"one", b"two", b"three"):
+        for kind, all_ in forms.items():
+            alone = [S.Replacer(key).get(kind, f) for f in all_]
+            together = S.Replacer(key)
+            assert all(a != f for a, f in zip(alone, all_)) and len(set(alone)) == len(all_), kind
+            assert alone == [together.get(kind, f) for f in all_], kind
+            if kind not in ("email", "ipv4"):
+                assert kind == "name" or set(alone) == set(all_)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 300), st.binary(min_size=1, max_size=8))
+def test_a_step_follows_one_cycle(size, key):
+    n, seen = 0, []
+    for _ in range(size):
+        seen.append(n)
+        n = S.stepped(n, size, key, "x")
+    assert n == 0 and len(set(seen)) == size
