@@ -1,6 +1,9 @@
 """Secret scan by corpus-wide ownership.
 
-Candidates are found by patterns (kinds below), and known from then on only by the SHA-256 of
+Candidates are found by patterns (kinds below): keys and tokens by their form, others as the value of
+a setting whose name holds a keyword, in code, JSON, YAML or .env form, quoted or bare; bare values
+end at a blank or at , ; & <, and values under `least_chars` are too short to look random. They are known
+from then on only by the SHA-256 of
 their value; hexadecimal values are compared in lower case. Over the whole corpus each hash is
 counted by distinct repositories and owners. A value that many owners or repositories hold is a
 copied example, whatever it looks like; one that a single owner holds and that looks random is
@@ -38,6 +41,14 @@ KINDS = {
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]{64,})-----END",
     "assigned": r"""(?i)(?:token|secret|api_?key|passw(?:or)?d|credential)[^\n"']{0,12}["']([A-Za-z0-9+/_=.-]{16,})["']""",
 }
+#: Settings of any form, for what "assigned" above leaves (which the SQL has too): a name that holds a keyword and may
+#: be quoted, = or :, and a quoted value, or a bare one to a blank or , ; & <. Calls and references (${x}, {{x}}) are no values.
+NAME = r"(?i)(?:token|secret|api_?key|passw(?:or)?d|credential)[\w.-]*+[\"'\]]{0,2}[ \t]*+(?::=|=>|[:=](?![:=]))[ \t]*+"
+REFERENCE = r"(?!\$[{(]|\{\{|<)"
+SETTINGS = [
+    *[NAME + r"[bru]?" + q + REFERENCE + rf"([^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+)" + q for q in "\"'`"],
+    NAME + REFERENCE + r"(?![\w.]+[(\[])([^\s\"'`,;&<]*[^\s\"'`,;&<.)\]}>])(?=[,;&<]|[.)\]}>]*(?:\s|\z))",
+]
 #: Every kind's matches contain one of these: texts without any are not looked at further.
 HINT = r"(?i)akia|asia|gh[pousr]_|xox|aiza|eyj|private key|token|secret|api_?key|passw|credential"
 PLACEHOLDER = r"(?i)example|changeme|placeholder|your[_-]|x{6,}|0{8,}|123456789|abcdefgh"
@@ -50,10 +61,17 @@ class SecretParams:
     copied_owners: int = 3
     copied_repositories: int = 5
     least_symbols: int = 8
+    least_chars: int = 8
 
 
-def matches(kind: str, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+def matches(kind: str, pattern: str, text: Column | str = "text") -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+
+def settings(p: SecretParams) -> Column:
+    """Assigned values that the pattern of the kind leaves; what it takes is cut out first, so that none counts twice."""
+    rest = F.regexp_replace("text", KINDS["assigned"], "\n")
+    return F.filter(F.concat(*[matches("assigned", r, rest) for r in SETTINGS]), lambda c: F.length(c["value"]) >= p.least_chars)
 
 
 def candidates(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
@@ -62,11 +80,11 @@ def candidates(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
     owner = F.col(p.owner).cast("string") if p.owner.lower() in named else F.lit(None).cast("string")
     parts = [F.col(c).cast("string") for c in p.repository if c.lower() in named]
     repository = F.nullif(F.concat_ws("/", *parts), F.lit("")) if parts else F.lit(None).cast("string")
-    found = F.concat(*[matches(k, r) for k, r in KINDS.items()])
+    found = F.concat(*[matches(k, r) for k, r in KINDS.items()], settings(p))
     return (
         docs.filter(F.col("text").rlike(HINT))
         .select("doc_id", owner.alias("owner"), repository.alias("repository"), F.explode(found).alias("c"))
-        .select("doc_id", "owner", "repository", "c.kind", F.regexp_replace("c.value", r"\s", "").alias("value"))
+        .select("doc_id", "owner", "repository", "c.kind", F.when(F.col("c.kind") == "assigned", F.col("c.value")).otherwise(F.regexp_replace("c.value", r"\s", "")).alias("value"))
     )
 
 

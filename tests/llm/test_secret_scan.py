@@ -27,3 +27,24 @@ def test_odd_rows(make, odd_rows):
     assert by[20].n_here == 2 and by[20].secret_hash == by[21].secret_hash and by[20].n_docs == 2
     assert S.scan(make([])).count() == 0
     assert S.scan(make(rows).drop("source", "lang")).count() == 3
+
+
+def test_settings_of_every_form_are_found_once(make):
+    value = "Zq7!kR2@vT9#"
+    long = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzTESTKEYa"
+    forms = ['{"api_key": "%s"}', "{'password': '%s'}", "DB_PASSWORD=%s", "  secret: %s", 'AWS_SECRET_ACCESS_KEY = "%s"', "export API_KEY='%s'", "cfg['secret']='%s'", "run --password=%s now", "Server=a;Password=%s;Db=b", "token := `%s`", 'token = "%s"']
+    texts = [(f % v, v) for f in forms for v in (value, long)]
+    rows = S.candidates(make([(k, t, "en", "a") for k, (t, _) in enumerate(texts)])).collect()
+    assert sorted((r.doc_id, r.value) for r in rows if r.kind == "assigned") == [(k, v) for k, (_, v) in enumerate(texts)]
+    pass_phrase = S.candidates(make([(1, 'password: "four words of it"', "en", "a")])).collect()
+    assert [r.value for r in pass_phrase] == ["four words of it"]
+
+
+def test_calls_and_references_are_no_values(make):
+    texts = ["password = getpass.getpass(prompt)", 'token = os.environ["TOKEN"]', "secret: ${SECRET_NAME}", "token == other_token", 'password: "{{ vault_password }}"', "a token of love", "secret: <your-secret>"]
+    assert S.candidates(make([(k, t, "en", "a") for k, t in enumerate(texts)])).collect() == []
+
+
+def test_long_runs_are_read(make):
+    texts = ["token=" + "a1" * 100_000, 'secret="' + "\\\\" * 2_000 + '"', "password=" * 3_000]
+    assert S.candidates(make([(k, t, "en", "a") for k, t in enumerate(texts)])).filter("doc_id < 2").count() == 2
