@@ -15,8 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; a document of which only short lines are left goes."""
-    return line_dedup.deduplicate(docs).filter(line_dedup.something_left()).select(*COLUMNS)
+    """Documents without repeated lines; a document of which only blanks are left goes."""
+    return line_dedup.deduplicate(docs).filter(r"lines_removed = 0 or text rlike r'(?U)\S'").select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

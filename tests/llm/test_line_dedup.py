@@ -80,3 +80,13 @@ def test_long_text_with_a_hot_line(make):
     hot = "the same line everywhere in this text"
     out = D.deduplicate(make([(1, "\n".join([hot] * 20_000), "en", "a"), (2, hot + "\nand another one", "en", "a")])).collect()
     assert {r.doc_id: r.text for r in out} == {1: hot, 2: "and another one"}
+
+
+def test_the_pipeline_keeps_short_lines_of_a_document_that_lost_one(make, spark):
+    import corpus_pipeline
+
+    header = "this header stands in many documents"
+    numbers = "\n".join(f"{k} {k * k}" for k in range(40))
+    rows = [(1, header + "\nand a first line of its own", "en", "a"), (2, header + "\n" + numbers, "en", "a"), (3, header + "\n春眠不觉晓\n处处闻啼鸟", "zh", "a"), (4, header, "en", "b"), (5, header + "\n \t\u00a0\n", "en", "b"), (6, "", "en", "b"), (7, None, "en", "b")]
+    out = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, make(rows), "").collect()}
+    assert set(out) == {1, 2, 3, 6, 7} and out[2] == numbers and out[3] == "春眠不觉晓\n处处闻啼鸟"
