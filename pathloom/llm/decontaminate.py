@@ -232,9 +232,11 @@ def with_items(docs: DataFrame, items: DataFrame, p: DecontaminateParams) -> Dat
     """docs with the ids and texts of items with which they share a gram, by a shuffled join."""
     keyed = docs.withColumn("__pl_key", F.xxhash64("text"))
     hits = grams_of(keyed.filter("text is not null").select(F.col("__pl_key").alias("k"), "text"), "k", p, False).distinct()
-    own = grams_of(items, "item_id", p, True).distinct()
-    found = hits.join(own, "g").select("k", "item_id").distinct().join(items.groupBy("item_id").agg(F.min("text").alias("t")), "item_id")
-    lists = found.groupBy("k").agg(F.collect_list("item_id").alias("__pl_ids"), F.collect_list("t").alias("__pl_texts"))
+    # one item_id may have several texts; two that share a hash are both searched
+    texts = items.withColumn("i", F.xxhash64("item_id", "text")).distinct()
+    own = grams_of(texts.select("i", "text"), "i", p, True).distinct()
+    found = hits.join(own, "g").select("k", "i").distinct().join(texts, "i")
+    lists = found.groupBy("k").agg(F.collect_list(F.struct("item_id", "text")).alias("own")).select("k", F.col("own.item_id").alias("__pl_ids"), F.col("own.text").alias("__pl_texts"))
     return keyed.join(lists, F.col("__pl_key") == F.col("k"), "left").drop("__pl_key", "k")
 
 

@@ -74,3 +74,12 @@ def test_odd_rows(make, odd_rows, items, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert C.decontaminate(make(odd_rows), none).count() == len(odd_rows)
     assert C.decontaminate(make([]), items).count() == 0
+
+
+def test_every_text_of_an_item_is_searched_in_both_ways(make, spark):
+    question, answer = (" ".join(f"{c}{k}" for k in range(20)) for c in "qa")
+    items = spark.createDataFrame([(1, question), (1, answer), (2, question)], "item_id long, text string")
+    docs = [(k, "head " * 30 + t + " tail" * 30, "en", "a") for k, t in enumerate((question, answer, answer + " " + question))]
+    for p in (P, dataclasses.replace(P, broadcast_chars=0)):
+        out = {r.doc_id: (r.words_removed, list(r.benchmark_items)) for r in C.annotate(make(docs), items, p).collect()}
+        assert out == {0: (20, [1]), 1: (20, [1]), 2: (40, [1])}
