@@ -1,6 +1,6 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams and token windows over the training text.
 
-Tokens are the words of textvec. An item's grams are its runs of `gram` words, or the item itself
+Words are the tokens of textvec. An item's grams are its runs of `gram` words, or the item itself
 where it is shorter; single words are no evidence, so items under `least` words are left out.
 Every window of every document is looked up; a hit is verified word for word against the item and
 extended to the longest common run. A run counts where it has at least `run` words or half of the
@@ -55,7 +55,7 @@ class Items:
         for n in self.sizes:
             mine = [k for k, w in enumerate(self.words) if min(p.gram, len(w)) == n]
             data, offsets = joined([" ".join(self.words[k]) for k in mine])
-            starts, ends, rows_ = textvec.words(data, offsets)
+            starts, ends, rows_ = textvec.tokens(data, offsets)
             first, hashes = textvec.windows(textvec.span_hashes(data, starts, ends), rows_, n)
             order = np.argsort(hashes, kind="stable")
             begin = np.searchsorted(rows_, np.arange(len(mine)))
@@ -73,7 +73,7 @@ def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def split(text: str | None) -> list[str]:
     data, offsets = joined([(text or "").lower()])
-    starts, ends, _ = textvec.words(data, offsets)
+    starts, ends, _ = textvec.tokens(data, offsets)
     raw = data.tobytes()
     return [raw[a:b].decode() for a, b in zip(starts, ends)]
 
@@ -93,7 +93,7 @@ def clean(column, items_of, p: DecontaminateParams):
     """For each text: (text or None if unchanged, item ids, words removed, words in all); items_of(row) may differ by row."""
     out: list[tuple] = [(None, [], 0, 0)] * len(column)
     for row, data, offsets in textvec.chunks(textvec.lower(column)):
-        starts, ends, rows = textvec.words(data, offsets)
+        starts, ends, rows = textvec.tokens(data, offsets)
         hashes = textvec.span_hashes(data, starts, ends)
         total = np.bincount(rows, minlength=len(offsets) - 1)
         hits: dict[int, list] = {}
@@ -164,7 +164,7 @@ def places(text: str) -> tuple[list[int], list[int]]:
         at.extend([(byte, byte + size)] * len(x))
         byte += size
     data = np.frombuffer(b"".join(low), np.uint8)
-    starts, ends, _ = textvec.words(data, np.array([0, len(data)], np.int64))
+    starts, ends, _ = textvec.tokens(data, np.array([0, len(data)], np.int64))
     return [at[s][0] for s in starts], [at[e - 1][1] for e in ends]
 
 
@@ -216,7 +216,7 @@ def grams_of(rows: DataFrame, key: str, p: DecontaminateParams, short: bool) ->
     def run(batches):
         for batch in batches:
             for row, data, offsets in textvec.chunks(textvec.lower(batch.column(1))):
-                starts, ends, of = textvec.words(data, offsets)
+                starts, ends, of = textvec.tokens(data, offsets)
                 hashes = textvec.span_hashes(data, starts, ends)
                 count = np.bincount(of, minlength=len(offsets) - 1)
                 for n in range(p.least, p.gram + 1):

@@ -1,6 +1,6 @@
 """Near dedup by b-bit MinHash.
 
-Shingles are runs of `shingle` words (one shingle of all words where there are fewer). Each of
+Shingles are runs of `shingle` words, the tokens of textvec (one shingle of all words where there are fewer). Each of
 `hashes` hash functions gives a minimum over them. Bands of `rows` full minima make the buckets
 in which candidates meet; only then the minima are cut to their lowest `bits` bits and packed.
 Two packed signatures agree in a share of places that is, for resemblance J, about
@@ -46,7 +46,7 @@ def shingles(text, p: NearParams):
     """Yields (first row, rows, shingle hashes, row of each) a chunk; rows are in order."""
     for row, data, offsets in textvec.chunks(textvec.lower(text)):
         n = len(offsets) - 1
-        starts, ends, rows = textvec.words(data, offsets)
+        starts, ends, rows = textvec.tokens(data, offsets)
         hashes = textvec.span_hashes(data, starts, ends)
         first, found = textvec.windows(hashes, rows, p.shingle)
         of = rows[first]

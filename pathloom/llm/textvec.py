@@ -1,7 +1,9 @@
 """Vectorised text primitives over Arrow string columns.
 
 A word is a maximal run of ASCII letters, digits and non-ASCII bytes of the lower-cased
-text; everything else separates. Words are hashed without a Python loop: with prefix sums
+text; everything else separates. Tokens are finer: Unicode punctuation, spaces and controls separate
+too, and each character of scripts written without blanks is a token of its own, with the marks that
+follow it. Words are hashed without a Python loop: with prefix sums
 S[i] of (byte+1)*P^i modulo 2^64, a word's polynomial is (S[end]-S[start])*P^-start, since
 the odd P has an inverse modulo 2^64.
 """
@@ -98,6 +100,62 @@ def words(data: np.ndarray, offsets: np.ndarray):
     return starts, np.flatnonzero(closes), np.searchsorted(offsets, starts, side="right") - 1
 
 
+#: Scripts without blanks between words: radicals to Bopomofo, Han, Yi, Thai and Lao, Myanmar, Khmer, Tai scripts, Balinese, Javanese, kana.
+UNSPACED = [
+    (0x2E80, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0xA980, 0xA9DF),
+]
+SEPARATES, IN_WORD, ALONE, MARK, MARK_ALONE = range(5)
+
+
+def character_classes() -> np.ndarray:
+    """The class of each code point: marks join what is before them; soft hyphens and joiners stand inside words."""
+    import unicodedata
+
+    table = np.full(0x110000, IN_WORD, np.uint8)
+    for a, b in UNSPACED:
+        table[a : b + 1] = ALONE
+    table[[0xFF9E, 0xFF9F]] = MARK_ALONE
+    for c in (*range(0x80, 0x20000), *range(0xE0000, 0xE0200)):
+        kind = unicodedata.category(chr(c))
+        if kind[0] == "M":
+            table[c] = MARK_ALONE if table[c] == ALONE else MARK
+        elif kind[0] in "PZ" or kind in ("Cc", "Cf") and c not in (0xAD, 0x200C, 0x200D):
+            table[c] = SEPARATES
+    return table
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray):
+    """(starts, ends, row of each token), as words() but by characters."""
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return words(data, offsets)
+    first = data[lead].astype(np.int64)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    code = first & (0x7F >> size)
+    for k in (1, 2, 3):
+        more = size > k
+        code[more] = code[more] << 6 | (data[lead[more] + k] & 0x3F)
+    found = shared("character classes", character_classes)[code]
+    of = shared("word bytes", word_bytes)[data].astype(np.uint8)
+    for k in range(4):
+        more = size > k
+        of[lead[more] + k] = found[more]
+    inside = of != SEPARATES
+    before = np.concatenate([[np.uint8(SEPARATES)], of[:-1]])
+    opens = inside & ((before == SEPARATES) | (of == ALONE) | (of == IN_WORD) & ((before == ALONE) | (before == MARK_ALONE)))
+    opens &= (data & 0xC0) != 0x80
+    edges = offsets[1:-1]
+    edges = edges[edges < len(data)]
+    opens[edges] |= inside[edges]
+    # a token ends before a separator or where the next one opens
+    closes = np.zeros(len(data) + 1, bool)
+    closes[1:] = inside
+    closes[:-1] &= ~inside | opens
+    starts = np.flatnonzero(opens)
+    return starts, np.flatnonzero(closes), np.searchsorted(offsets, starts, side="right") - 1
+
+
 def windows(hashes: np.ndarray, rows: np.ndarray, n: int):
     """(first word, hash) of every run of n words inside one row."""
     last = len(hashes) - n + 1

@@ -83,3 +83,12 @@ def test_every_text_of_an_item_is_searched_in_both_ways(make, spark):
     for p in (P, dataclasses.replace(P, broadcast_chars=0)):
         out = {r.doc_id: (r.words_removed, list(r.benchmark_items)) for r in C.annotate(make(docs), items, p).collect()}
         assert out == {0: (20, [1]), 1: (20, [1]), 2: (40, [1])}
+
+
+def test_passages_inside_text_without_blanks_and_with_other_quotes(make, spark):
+    items = spark.createDataFrame([(1, "请问水在标准大气压下的沸点是多少摄氏度"), (2, "the so-called \"long\" night wasn't over before the ninth bell")], "item_id long, text string")
+    docs = [(1, "昨天老师说请问水在标准大气压下的沸点是多少摄氏度然后大家都笑了" + "因为今天天气很好我们一起去公园散步吃饭聊天" * 3, "zh", "a"), (2, "so the so‑called “long” night wasn’t over before the ninth bell — " + "and more " * 20, "en", "a")]
+    out = {r.doc_id: r for r in C.annotate(make(docs), items).collect()}
+    assert list(out[1].benchmark_items) == [1] and out[1].text.startswith("昨天老师说然后大家都笑了") and out[1].words_removed == 19
+    assert list(out[2].benchmark_items) == [2]
+    assert sorted(map(str, out.values())) == sorted(str(r) for r in C.annotate(make(docs), items, dataclasses.replace(P, broadcast_chars=0)).collect())

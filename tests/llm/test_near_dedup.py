@@ -98,3 +98,12 @@ def test_odd_rows(make, odd_rows):
     ids = sorted((r.doc_id or 0) for r in kept.collect())
     assert ids == sorted([0, 0, 1, 2, 3, 4, 5, 6, 7, 7, 8, 9]) and len(kept.columns) == len(make(rows, extra=True).columns)
     assert N.deduplicate(make([])).count() == 0 and N.pairs(make([])).count() == 0
+
+
+def test_near_copies_in_text_without_blanks_are_found(make):
+    from pathloom.llm import near_dedup
+
+    text = "山下有一条很长的小河，孩子们每天放学以后都到河边玩水。老人坐在树下讲从前的故事，大家听得非常认真，直到太阳落到山的后面才慢慢回家。"
+    other = "图书馆新买了许多关于天文和历史的书籍，学生们排队登记借阅，管理员忙得没有时间喝茶。"
+    docs = make([(1, text, "zh", "a"), (2, text.replace("老", "男"), "zh", "a"), (3, other, "zh", "a")])
+    assert [(r.keeper_id, r.doc_id) for r in near_dedup.pairs(docs).collect()] == [(1, 2)]

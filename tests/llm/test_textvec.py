@@ -38,3 +38,27 @@ def test_hash_table_grows_and_finds():
         table.put(part, (part % np.uint64(1000)).astype(np.int32))
     assert (table.get(keys) == keys % np.uint64(1000)).all()
     assert (table.get(keys + np.uint64(1))[~np.isin(keys + np.uint64(1), keys)] == -1).all()
+
+
+def tokens_of(texts, most=20):
+    out = [[] for _ in texts]
+    for row, data, offsets in V.chunks(pa.array(texts, pa.string()), most):
+        s, e, r = V.tokens(data, offsets)
+        raw = data.tobytes()
+        for a, b, k in zip(s, e, r):
+            out[row + int(k)].append(raw[a:b].decode())
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab1 é-\n語か“—。\u00a0ก\u0e34กе\U00020000…😀", max_size=40)), min_size=1, max_size=8))
+def test_tokens_are_those_of_a_regular_expression(texts):
+    want = [re.findall("[語か\U00020000ก]|[ab1éе😀]+", t or "") for t in texts]
+    plain = [(g, w) for g, w, t in zip(tokens_of(texts), want, texts) if "\u0e34" not in (t or "")]
+    assert [g for g, _ in plain] == [w for _, w in plain]
+    assert all("".join(g) == "".join(c for c in t or "" if c in "ab1é語かก\u0e34е\U00020000😀") for g, t in zip(tokens_of(texts), texts))
+
+
+def test_scripts_without_blanks_marks_and_typographic_signs():
+    got = tokens_of(["全文检索，很快。ok", "“it’s” — a\u00a0test…", "\"it's\" - a test...", "ที่นี่", "e\u0301a naïve", "か\u3099き", "日本go語", "한국어 문장"], 1000)
+    assert got == [list("全文检索很快") + ["ok"], ["it", "s", "a", "test"], ["it", "s", "a", "test"], ["ที่", "นี่"], ["e\u0301a", "naïve"], ["か\u3099", "き"], ["日", "本", "go", "語"], ["한국어", "문장"]]
