@@ -6,7 +6,8 @@ MPL headers) are found before that and kept in one piece. Each sentence is norma
 words and mapped to the identifier of a known licence sentence. The identifiers, in order, form the
 document's sequence; a rule is an ordered list of identifiers that must occur in that order, others
 may stand between. A licence is reported once, by its first rule that matches (full text before
-header, header before mention).
+header, header before mention). "All rights reserved" makes a document proprietary only where no licence
+was found by its text or header, as licences open with these words themselves.
 
 Everything happens inside a row: no shuffle, and texts in which no word stands that every known
 sentence has one of are dropped first.
@@ -14,7 +15,8 @@ sentence has one of are dropped first.
 Defined results: documents without a recognised licence, and null or empty texts, are not in the
 result. Rows with a null doc_id are reported under null; repeated rows give repeated results. A
 document may hold several licences, a row each; a known sentence that no rule uses alone gives
-none. An empty table gives an empty result.
+none. A very long text is read whole, in one row like any other. Columns other than doc_id and text are
+ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -103,11 +105,16 @@ def inner() -> list[str]:
 def whole(text: Column) -> Column:
     """text, paragraphs ending in \\u0001, with each sentence of inner() in its normal form, which has no marks or line ends."""
     for s in inner():
-        words = r"[^A-Za-z0-9\x{1}]+".join(plain(s).split(" "))
-        text = F.regexp_replace(text, rf"(?i)(?<![A-Za-z0-9]){words}(?=[^A-Za-z0-9\x{{1}}]*?(?:[\n\x{{1}}]|[.!?:;]\s|\z))", plain(s))
+        text = F.regexp_replace(text, broken(s), plain(s) + "$1")
     return text
 
 
+def broken(sentence: str) -> str:
+    """The words of a sentence, whatever stands between them, to a place where a text is cut; for Java and RE2 alike."""
+    words = r"[^A-Za-z0-9\x{1}]+".join(plain(sentence).split(" "))
+    return rf"(?i)\b{words}([^A-Za-z0-9\x{{1}}]*?(?:[\n\x{{1}}]|[.!?:;]\s|\z))"
+
+
 def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
@@ -131,12 +138,15 @@ def scan(docs: DataFrame) -> DataFrame:
         if licence == "BSD-2-Clause":
             best = F.when(F.contains("__pl_seq", F.lit(" bsd_endorse ")), F.lit(None)).otherwise(best)
         found.append(F.struct(F.lit(licence).alias("licence"), best.alias("rule")))
+    hits = F.filter(F.array(*found), lambda x: x["rule"].isNotNull())
     return (
         docs.filter(F.col("text").rlike(HINT))
         .select("doc_id", sequence(F.col("text")).alias("__pl_ids"))
         .filter(F.size("__pl_ids") > 0)
         .select("doc_id", "__pl_ids", ids.alias("__pl_seq"))
-        .select("doc_id", F.size("__pl_ids").alias("n_sentences"), F.trim("__pl_seq").alias("sentences"), F.explode(F.filter(F.array(*found), lambda x: x["rule"].isNotNull())).alias("r"))
+        .select("doc_id", F.size("__pl_ids").alias("n_sentences"), F.trim("__pl_seq").alias("sentences"), hits.alias("__pl_hits"))
+        .withColumn("__pl_text", F.exists("__pl_hits", lambda x: x["rule"] != "mention"))
+        .select("doc_id", "n_sentences", "sentences", F.explode(F.filter("__pl_hits", lambda x: (x["licence"] != "Proprietary") | ~F.col("__pl_text"))).alias("r"))
         .select("doc_id", "r.licence", "r.rule", "n_sentences", "sentences")
     )
 
@@ -149,21 +159,32 @@ def values(rows) -> str:
     return ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
 
 
+def whole_sql(text: str) -> str:
+    """whole() in SQL."""
+    for s in inner():
+        pattern = broken(s).replace("'", "''")
+        text = f"regexp_replace({text}, '{pattern}', '{plain(s)}\\1', 'g')"
+    return text
+
+
+PARAGRAPHS = r"regexp_replace(text, '\n[ \t]*\n', chr(1), 'g')"
 ORACLE = rf"""
 WITH known(sentence, id) AS (VALUES {values(KNOWN.items())}),
 rules(licence, rule, priority, needs) AS (VALUES {values((a, b, k, ".* " + " (?:.* )?".join(n) + " ") for k, (a, b, n) in enumerate(RULES))}),
 sentences AS (
   SELECT doc_id, i, parts[i] AS s FROM (
-    SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\n[ \t]*\n', chr(1), 'g'), '([.!?:;])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts
-    FROM documents), unnest(range(1, len(parts) + 1)) AS u(i)
+    SELECT doc_id, string_split(regexp_replace({whole_sql(PARAGRAPHS)}, '([.!?:;])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts
+    FROM documents WHERE regexp_matches(text, '{HINT}')), unnest(range(1, len(parts) + 1)) AS u(i)
 ), readings AS (
   SELECT doc_id, i, j, r[j] AS s FROM (
     SELECT doc_id, i, CASE WHEN contains(s, chr(10)) THEN list_concat([s], string_split(s, chr(10))) ELSE [s] END AS r FROM sentences), unnest(range(1, len(r) + 1)) AS u(j)
 ), found AS (
   SELECT doc_id, count(*) AS n, ' ' || string_agg(id, ' ' ORDER BY i, j) || ' ' AS seq
   FROM readings JOIN known ON known.sentence = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) GROUP BY doc_id
+), hits AS (
+  SELECT doc_id, licence, arg_min(rule, priority) AS rule, CAST(any_value(n) AS INTEGER) AS n_sentences, trim(any_value(seq)) AS sentences
+  FROM found JOIN rules ON regexp_matches(seq, needs) AND NOT (licence = 'BSD-2-Clause' AND contains(seq, ' bsd_endorse '))
+  GROUP BY doc_id, licence
 )
-SELECT doc_id, licence, arg_min(rule, priority) AS rule, CAST(any_value(n) AS INTEGER) AS n_sentences, trim(any_value(seq)) AS sentences
-FROM found JOIN rules ON regexp_matches(seq, needs) AND NOT (licence = 'BSD-2-Clause' AND contains(seq, ' bsd_endorse '))
-GROUP BY doc_id, licence
+SELECT * FROM hits h WHERE licence <> 'Proprietary' OR NOT EXISTS (SELECT 1 FROM hits o WHERE o.doc_id = h.doc_id AND o.rule <> 'mention')
 """

@@ -52,3 +52,22 @@ def test_every_sentence_and_rule_is_found_in_its_own_text(make):
 def test_pieces_and_longer_sentences_are_no_inner_sentence(make):
     spdx = "SPDX-License-Identifier: "
     assert found(make, spdx + "MIT-0", spdx + "\n\nMIT", spdx + "MIT License", spdx + "Apache-2.0 WITH LLVM-exception") == {(2, "MIT"): "title"}
+
+
+def test_all_rights_reserved_above_a_licence_text_is_no_licence(make):
+    bsd = "\n\n".join(L.SENTENCES[k][0] for k in ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"))
+    assert found(make, "Copyright 2020 A.\nAll rights reserved.\n\n" + bsd, "All rights reserved.") == {(0, "BSD-3-Clause"): "text", (1, "Proprietary"): "mention"}
+
+
+def test_the_sql_finds_every_form_too(make):
+    import duckdb
+
+    forms = [s for v in L.SENTENCES.values() for s in v]
+    texts = [w for s in forms for w in (s, "Title\n// " + s + "\nint x = 1", "One word. " + s.replace(" ", "\n * ") + "\nmore text")]
+    texts += ["SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0", "\n\n".join(L.SENTENCES[k][0] for k in ("all_rights", "isc_grant")), MIT, "", "plain"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = con.execute(f"SELECT doc_id, licence, rule, n_sentences, sentences FROM ({L.ORACLE})").fetchall()
+    assert sorted(map(tuple, L.scan(make([(k, t, "en", "a") for k, t in enumerate(texts)])).collect())) == sorted(want)
+    assert {k: b for k, a, b, *_ in want if k == len(texts) - 5} and {a for k, a, *_ in want if k == len(texts) - 5} == {"MIT", "Apache-2.0"}
