@@ -20,12 +20,15 @@ parameters. The result has a row for each document and value; values themselves
 Defined results: null and empty texts have no candidates. A null owner counts as no owner, and a
 repository is null only if all its parts are. Rows with a null doc_id are counted and reported
 under null. Repeated rows add to n_here and change nothing else. A table that lacks an owner or
-repository column has none for all rows. An empty table gives an empty result.
+repository column has none for all rows. A very long text is searched whole, by patterns without
+deep recursion. Other columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,16 +44,19 @@ KINDS = {
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]{64,})-----END",
     "assigned": r"""(?i)(?:token|secret|api_?key|passw(?:or)?d|credential)[^\n"']{0,12}["']([A-Za-z0-9+/_=.-]{16,})["']""",
 }
-#: Settings of any form, for what "assigned" above leaves (which the SQL has too): a name that holds a keyword and may
-#: be quoted, = or :, and a quoted value, or a bare one to a blank or , ; & <. Calls and references (${x}, {{x}}) are no values.
-NAME = r"(?i)(?:token|secret|api_?key|passw(?:or)?d|credential)[\w.-]*+[\"'\]]{0,2}[ \t]*+(?::=|=>|[:=](?![:=]))[ \t]*+"
-REFERENCE = r"(?!\$[{(]|\{\{|<)"
-SETTINGS = [
-    *[NAME + r"[bru]?" + q + REFERENCE + rf"([^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+)" + q for q in "\"'`"],
-    NAME + REFERENCE + r"(?![\w.]+[(\[])([^\s\"'`,;&<]*[^\s\"'`,;&<.)\]}>])(?=[,;&<]|[.)\]}>]*(?:\s|\z))",
-]
+#: Settings of any form, for what "assigned" above leaves: a name that holds a keyword and may be quoted, = or :, and a
+#: quoted value, or a bare one to a blank or , ; & <. The repeats that never give back (*+) keep Java from deep recursion;
+#: without their + the patterns mean the same, to RE2 as well.
+NAME = r"(?i)(?:token|secret|api_?key|passw(?:or)?d|credential)[A-Za-z0-9_.-]*+[\"'\]]{0,2}[ \t]*+(?::=|=>|[:=])[ \t]*+"
+BARE = r"([^\s\"'`,;&<:=>][^\s\"'`,;&<]*)(?:[\s,;&<]|\z)"
+SETTINGS = [*[NAME + rf"[bru]?{q}([^{q}\\\n]*+(?:\\[^\n][^{q}\\\n]*+)*+){q}" for q in "\"'`"], NAME + BARE]
+#: Calls and references (f(x), ${x}, {{x}}, <x>) are no values.
+REFERENCE = r"^(?:\$[{(]|\{\{|<)"
+CALL = r"^[A-Za-z0-9_.]+[(\[]"
+CLOSERS = r"[.)\]}>]+$"
 #: Every kind's matches contain one of these: texts without any are not looked at further.
-HINT = r"(?i)akia|asia|gh[pousr]_|xox|aiza|eyj|private key|token|secret|api_?key|passw|credential"
+VENDORS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "AIza", "eyJ", "PRIVATE KEY-----"]
+KEYWORDS = ["token", "secret", "apikey", "api_key", "passw", "credential"]
 PLACEHOLDER = r"(?i)example|changeme|placeholder|your[_-]|x{6,}|0{8,}|123456789|abcdefgh"
 
 
@@ -68,10 +74,19 @@ def matches(kind: str, pattern: str, text: Column | str = "text") -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
 
+def hinted(text: str = "text") -> Column:
+    """Whether a text holds any vendor's mark or, in any case, a keyword. The array of one binds the lower case, made once."""
+    holds = lambda t, words: reduce(or_, [F.contains(t, F.lit(w)) for w in words])
+    return holds(F.col(text), VENDORS) | F.exists(F.array(F.lower(text)), lambda low: holds(low, KEYWORDS))
+
+
 def settings(p: SecretParams) -> Column:
     """Assigned values that the pattern of the kind leaves; what it takes is cut out first, so that none counts twice."""
     rest = F.regexp_replace("text", KINDS["assigned"], "\n")
-    return F.filter(F.concat(*[matches("assigned", r, rest) for r in SETTINGS]), lambda c: F.length(c["value"]) >= p.least_chars)
+    *quoted, bare = [matches("assigned", r, rest) for r in SETTINGS]
+    bare = F.filter(bare, lambda c: ~c["value"].rlike(CALL))
+    bare = F.transform(bare, lambda c: F.struct(c["kind"].alias("kind"), F.regexp_replace(c["value"], CLOSERS, "").alias("value")))
+    return F.filter(F.concat(*quoted, bare), lambda c: (F.length(c["value"]) >= p.least_chars) & ~c["value"].rlike(REFERENCE))
 
 
 def candidates(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
@@ -82,7 +97,7 @@ def candidates(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
     repository = F.nullif(F.concat_ws("/", *parts), F.lit("")) if parts else F.lit(None).cast("string")
     found = F.concat(*[matches(k, r) for k, r in KINDS.items()], settings(p))
     return (
-        docs.filter(F.col("text").rlike(HINT))
+        docs.filter(hinted())
         .select("doc_id", owner.alias("owner"), repository.alias("repository"), F.explode(found).alias("c"))
         .select("doc_id", "owner", "repository", "c.kind", F.when(F.col("c.kind") == "assigned", F.col("c.value")).otherwise(F.regexp_replace("c.value", r"\s", "")).alias("value"))
     )
@@ -97,6 +112,7 @@ def scan(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
                 F.col("value").rlike(PLACEHOLDER).alias("reads"), F.size(F.array_distinct(F.split("value", ""))).alias("symbols"))
         .groupBy("doc_id", "owner", "repository", "kind", "secret_hash", "n_chars", "reads", "symbols").agg(F.count(F.lit(1)).alias("n_here"))
     )
+    here = common.stored(here)  # a few rows a document with a secret; texts are read and searched once
     # the distinct pairs shrink on the map side; a value in a million documents is one row a task and owner
     spread = here.groupBy("secret_hash").agg(
         F.count_distinct("owner").alias("n_owners"), F.count_distinct("repository").alias("n_repositories"), F.count_distinct("doc_id").alias("n_docs")
@@ -118,12 +134,21 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def oracle_settings() -> str:
+    rest = f"regexp_replace(text, {quoted(KINDS['assigned'])}, chr(10), 'g')"
+    all_ = [f"regexp_extract_all({rest}, {quoted(r.replace('*+', '*'))}, 1)" for r in SETTINGS]
+    bare = f"list_transform(list_filter({all_[-1]}, lambda v: NOT regexp_matches(v, {quoted(CALL)})), lambda v: regexp_replace(v, {quoted(CLOSERS)}, ''))"
+    return f"list_filter(list_concat({', '.join([*all_[:-1], bare])}), lambda v: length(v) >= 8 AND NOT regexp_matches(v, {quoted(REFERENCE)}))"
+
+
+REPOSITORY = "nullif(concat_ws('/', source, lang), '')"
 ORACLE = f"""
 WITH found AS (
-  {" UNION ALL ".join(f"SELECT doc_id, source AS owner, source || '/' || lang AS repository, '{k}' AS kind, unnest(regexp_extract_all(text, {quoted(r)}, 1)) AS raw FROM documents" for k, r in KINDS.items())}
+  {" UNION ALL ".join(f"SELECT doc_id, source AS owner, {REPOSITORY} AS repository, '{k}' AS kind, unnest(regexp_extract_all(text, {quoted(r)}, 1)) AS raw FROM documents" for k, r in KINDS.items())}
+  UNION ALL SELECT doc_id, source, {REPOSITORY}, 'assigned', unnest({oracle_settings()}) FROM documents
 ), named AS (
   SELECT doc_id, owner, repository, kind, CASE WHEN regexp_full_match(v, '[0-9A-Fa-f]+') THEN lower(v) ELSE v END AS v
-  FROM (SELECT *, regexp_replace(raw, '\\s', '', 'g') AS v FROM found)
+  FROM (SELECT *, CASE WHEN kind = 'assigned' THEN raw ELSE regexp_replace(raw, '\\s', '', 'g') END AS v FROM found)
 ), here AS (
   SELECT doc_id, owner, repository, kind, sha256(v) AS secret_hash, CAST(length(v) AS INTEGER) AS n_chars, regexp_matches(v, {quoted(PLACEHOLDER)}) AS reads,
          len(list_distinct(string_split(v, ''))) AS symbols, count(*) AS n_here
