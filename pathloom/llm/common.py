@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,37 +18,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, of spark.checkpoint.dir; one of this machine's only where that is unset."""
+    """The folder that all executors share, of spark.checkpoint.dir. Where that is unset, a local session gets one of its
+    machine; a cluster, whose executors couldn't read each other's parts there, an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    if given is None and sc.getCheckpointDir() is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(given or "file://" + tempfile.mkdtemp(prefix="pathloom-"))
     return given or sc.getCheckpointDir()
 
 
-_STORED: list = []
+_STORED: dict[str, tuple] = {}
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there and losing an executor loses nothing.
 
-    The tables stay until release() or the end of the driver, as results may still be read from them."""
+    The table stays until discard(), release() or the end of the driver, as results may still be read from it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pathloom-{uuid.uuid4().hex}"
     if not _STORED:
         atexit.register(release)
-    _STORED.append((spark._jvm, spark._jsc.hadoopConfiguration(), path))
+    _STORED[path] = (spark._jvm, spark._jsc.hadoopConfiguration())
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pathloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a result of stored() that nothing reads any more."""
+    remove(df._pathloom_path)
+
+
+def remove(path: str) -> None:
+    if path in _STORED:
+        jvm, conf = _STORED.pop(path)
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def release() -> None:
     """Deletes the tables that stored() has written."""
-    while _STORED:
-        jvm, conf, path = _STORED.pop()
+    for path in list(_STORED):
         try:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            remove(path)
         except Exception:  # noqa: BLE001  the JVM may have ended first
             return
 

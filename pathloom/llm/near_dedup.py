@@ -9,13 +9,16 @@ counted as bits of one integer after an XOR.
 
 All members of a bucket are compared with its first one. Whoever is not like it is compared with
 every member of the bucket, so each document with a partner in a bucket joins a partner's group:
-the groups are those of all pairs, at linear cost where a bucket holds one kind of document.
+the groups are those of all pairs, at linear cost where a bucket holds one kind of document. In a bucket
+of more than `block` members the second comparison is made apart, blocks of the unlike against blocks of
+all, spread over the cluster; a task holds two blocks, whatever the bucket's size.
 Documents with equal signatures are folded into one beforehand. Groups are connected components,
 found by alternating large-star and small-star steps, stored after each step.
 
 Defined results: documents without words, and rows without a doc_id, have no partners and always
 stay. Repeated rows of one doc_id are one document and one row stays of them; different texts
 under one doc_id are one document with several signatures. Of a group, the smallest doc_id stays.
+A very long text is shingled whole. Other columns are carried along untouched, whatever their names.
 An empty table gives an empty result.
 """
 
@@ -39,6 +42,7 @@ class NearParams:
     rows: int = 4
     bits: int = 4
     threshold: float = 0.5
+    block: int = 4096
     seed: int = 11
 
 
@@ -123,47 +127,113 @@ def signatures(docs: DataFrame, p: NearParams) -> DataFrame:
 
 
 def compared(members: DataFrame, p: NearParams) -> DataFrame:
-    """Edges a < b with their estimate, from rows (bucket, doc_id, sig) that hold whole buckets in order."""
+    """Edges a < b with their estimate, from rows (bucket, doc_id, sig) that hold whole buckets in order.
+
+    Of a bucket of over `block` members, those unlike its first come out too, as bucket, a, sig without b, for crossed()."""
+
+    def made(bucket, a, b, est, sig):
+        null = pa.nulls(len(a))
+        edge = sig is None
+        columns = [null.cast(pa.int64()) if edge else pa.array(bucket), pa.array(a), pa.array(b) if edge else null.cast(pa.int64()), pa.array(est) if edge else null.cast(pa.float64()), null.cast(pa.binary()) if edge else pa.array([x.tobytes() for x in sig], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "a", "b", "est", "sig"])
+
+    def star(bucket, ids, sig, first_id, first_sig):
+        est = similarity(sig, np.broadcast_to(first_sig, sig.shape).copy(), p)
+        like = est >= p.threshold
+        yield made(None, np.minimum(first_id, ids)[like & (ids != first_id)], np.maximum(first_id, ids)[like & (ids != first_id)], est[like & (ids != first_id)], None)
+        if not like.all():
+            yield made(np.full(int((~like).sum()), bucket), ids[~like], None, None, sig[~like])
 
     def edges(bucket, ids, sig):
         start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        first = np.repeat(start, np.diff(np.concatenate([start, [len(bucket)]])))
+        ends = np.concatenate([start[1:], [len(bucket)]])
+        large = ends - start > p.block
+        for k in np.flatnonzero(large):
+            s = slice(start[k], ends[k])
+            yield from star(bucket[start[k]], ids[s], sig[s], ids[start[k]], sig[start[k]])
+        some = np.repeat(~large, ends - start)
+        bucket, ids, sig = bucket[some], ids[some], sig[some]
+        if not len(bucket):
+            return
+        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = np.concatenate([start[1:], [len(bucket)]])
+        first = np.repeat(start, ends - start)
         est = similarity(sig, sig[first], p)
         good = (est >= p.threshold) & (ids != ids[first])
         found = [(ids[first][good], ids[good], est[good])]
-        ends = np.concatenate([start[1:], [len(bucket)]])
         for k in np.flatnonzero(est < p.threshold):  # unlike the first: held against everyone in the bucket
             b = np.searchsorted(start, k, side="right") - 1
-            all_ = np.arange(start[b], ends[b])
-            e = similarity(np.broadcast_to(sig[k], (len(all_), sig.shape[1])).copy(), sig[all_], p)
-            hit = all_[(e >= p.threshold) & (ids[all_] != ids[k])]
-            found.append((np.minimum(ids[k], ids[hit]), np.maximum(ids[k], ids[hit]), e[hit - start[b]]))
-        return [np.concatenate(x) for x in zip(*found)]
+            found.append(hits(sig[k], ids[k], sig[start[b] : ends[b]], ids[start[b] : ends[b]], p))
+        yield made(None, *[np.concatenate(x) for x in zip(*found)], None)
 
     def run(batches):
-        bucket, ids, sig = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        bucket, ids, sig, big = np.zeros(0, np.int64), np.zeros(0, np.int64), None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            bucket = np.concatenate([bucket, batch.column(0).to_numpy()])
-            ids = np.concatenate([ids, batch.column(1).to_numpy()])
+            now, who = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if big:  # a bucket that is too large to be held goes by as it comes, against its first
+                more = int(np.searchsorted(now, big[0], side="right"))
+                if more:
+                    yield from star(big[0], who[:more], raw[:more], *big[1:])
+                if more == len(now):
+                    continue
+                now, who, raw, big = now[more:], who[more:], raw[more:], None
+            bucket, ids = np.concatenate([bucket, now]), np.concatenate([ids, who])
             sig = raw if sig is None else np.concatenate([sig, raw])
             whole = int(np.searchsorted(bucket, bucket[-1]))
             if whole:
-                a, b, e = edges(bucket[:whole], ids[:whole], sig[:whole])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(e)], names=["a", "b", "est"])
+                yield from edges(bucket[:whole], ids[:whole], sig[:whole])
                 bucket, ids, sig = bucket[whole:], ids[whole:], sig[whole:]
+            if len(bucket) > p.block:
+                big = bucket[0], ids[0], sig[0].copy()
+                yield from star(bucket[0], ids, sig, *big[1:])
+                bucket, ids, sig = bucket[:0], ids[:0], None
         if len(bucket):
-            a, b, e = edges(bucket, ids, sig)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(e)], names=["a", "b", "est"])
+            yield from edges(bucket, ids, sig)
+
+    return members.mapInArrow(run, "bucket long, a long, b long, est double, sig binary")
+
+
+def hits(one: np.ndarray, id_: int, sig: np.ndarray, ids: np.ndarray, p: NearParams):
+    """(a, b, estimate) of one signature's partners among others."""
+    est = similarity(np.broadcast_to(one, sig.shape).copy(), sig, p)
+    hit = np.flatnonzero((est >= p.threshold) & (ids != id_))
+    return np.minimum(id_, ids[hit]), np.maximum(id_, ids[hit]), est[hit]
+
+
+def crossed(unlike: DataFrame, members: DataFrame, p: NearParams) -> DataFrame:
+    """Edges of the unlike members (bucket, doc_id, sig) of large buckets with any member, a block of each in a task."""
+
+    def cell(few, many):
+        import pandas as pd
+
+        found = []
+        if len(few) and len(many):
+            x, y = (np.frombuffer(b"".join(d.sig), np.uint8).reshape(len(d), -1) for d in (few, many))
+            found = [hits(x[k], few.doc_id.iloc[k], y, many.doc_id.to_numpy(), p) for k in range(len(x))]
+        a, b, est = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0)] * 3
+        return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64), "est": est})
+
+    def block(side: str):
+        return F.pmod(F.xxhash64("doc_id", F.lit(side)), F.col(side)).cast("int")
+
+    def blocks(side: str):
+        return F.explode(F.sequence(F.lit(0), F.col(side) - 1)).alias(side)
 
-    return members.mapInArrow(run, "a long, b long, est double")
+    rows = unlike.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("rows"))
+    columns = members.join(rows, "bucket", "left_semi").groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("columns"))
+    sizes = common.stored(rows.join(columns, "bucket"))  # a row a large bucket
+    few = unlike.join(sizes, "bucket").select("bucket", "doc_id", "sig", block("rows").alias("rows"), blocks("columns"))
+    many = members.join(sizes, "bucket").select("bucket", "doc_id", "sig", block("columns").alias("columns"), blocks("rows"))
+    at = ["bucket", "rows", "columns"]
+    return few.groupBy(*at).cogroup(many.groupBy(*at)).applyInPandas(cell, "a long, b long, est double")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, root) for every node of the edges (a, b) but the roots: the root is the component's smallest."""
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
+    edges = common.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
         # large star: a node's larger neighbours go to its smallest neighbour or itself
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -172,8 +242,9 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        new = moved.filter("u <> v").distinct().checkpoint()
+        new = common.stored(moved.filter("u <> v").distinct())
         same = [x.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first() for x in (edges, new)]
+        common.discard(edges)
         edges = new
         if same[0] == same[1]:
             return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
@@ -187,9 +258,14 @@ def pairs(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     shared = reps.select("bucket", "doc_id").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("n > 1")
     # a document with one partner meets it in many buckets; its signature travels once a bucket in which it isn't alone
     one = folded.select(F.col("__pl_rep").alias("doc_id"), "sig")
-    members = shared.select("bucket", "doc_id").join(one, "doc_id").select("bucket", "doc_id", "sig").repartition("bucket").sortWithinPartitions("bucket", "doc_id", "sig")
+    members = shared.select("bucket", "doc_id").join(one, "doc_id").select("bucket", "doc_id", "sig")
     same = sigs.join(folded, ["sig", "buckets"]).filter("doc_id <> __pl_rep").select(F.col("__pl_rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("est"))
-    edges = common.stored(compared(members, p).unionByName(same).groupBy("a", "b").agg(F.max("est").alias("est")))
+    found = common.stored(compared(members.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "sig"), p))
+    every = found.filter("b is not null").select("a", "b", "est").unionByName(same)
+    unlike = found.filter("b is null").select("bucket", F.col("a").alias("doc_id"), "sig")
+    if not unlike.isEmpty():
+        every = every.unionByName(crossed(unlike, members, p))
+    edges = common.stored(every.groupBy("a", "b").agg(F.max("est").alias("est")))
     roots = components(edges)
     best = edges.select("est", F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.max("est").alias("similarity"))
     return roots.join(best, "doc_id").select(F.col("root").alias("keeper_id"), "doc_id", F.round("similarity", 6).alias("similarity"))
@@ -199,8 +275,14 @@ def deduplicate(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     """The documents that stay, each once."""
     gone = pairs(docs, p).select(F.col("doc_id").alias("__pl_gone"))
     kept = docs.join(gone, docs["doc_id"] == gone["__pl_gone"], "left_anti")
-    again = Window.partitionBy("doc_id", common.row_key()).orderBy(F.lit(1))
-    return kept.withColumn("__pl_n", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(again))).filter("__pl_n = 1").drop("__pl_n")
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    again = common.stored(ids.filter("n > 1").select(F.col("doc_id").alias("__pl_again")))
+    if again.isEmpty():  # read from the ids alone; texts of ids that stand once are not moved for it
+        return kept
+    same = kept["doc_id"] == again["__pl_again"]
+    nth = Window.partitionBy("doc_id", common.row_key()).orderBy(F.lit(1))
+    repeated = kept.join(again, same, "left_semi").withColumn("__pl_n", F.row_number().over(nth)).filter("__pl_n = 1").drop("__pl_n")
+    return kept.join(again, same, "left_anti").unionByName(repeated)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

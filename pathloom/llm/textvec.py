@@ -18,6 +18,17 @@ import pyarrow.compute as pc
 
 P = 0x9E3779B97F4A7C15
 CHUNK_BYTES = 1_000_000
+#: A text that is longer than a chunk is one chunk; what needs much room a byte is made for so many bytes of it at a time.
+BLOCK_BYTES = 1 << 20
+
+
+def latest(name: str, key, make):
+    """As shared(), but only the value of the last key is kept."""
+    cache = sys.__dict__.setdefault("_pathloom_latest", {})
+    if name not in cache or cache[name][0] != key:
+        cache.pop(name, None)
+        cache[name] = key, make()
+    return cache[name][1]
 
 
 def shared(key, make):
@@ -71,13 +82,26 @@ def chunks(column, most: int = CHUNK_BYTES):
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of each byte span."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A mixed 64-bit hash of each byte span; spans are in order and don't overlap.
+
+    The sums are made BLOCK_BYTES at a time, so that a long text costs no more room than a short one; a span over
+    several blocks is the sum of its parts, each at its distance from the span's start."""
+    out = np.zeros(len(starts), np.uint64)
+    for base in range(0, len(data) if len(starts) else 0, BLOCK_BYTES):
+        block = data[base : base + BLOCK_BYTES]
+        a, b = np.searchsorted(ends, base, side="right"), np.searchsorted(starts, base + len(block))
+        if a == b:
+            continue
+        up, down = powers(min(len(data), BLOCK_BYTES) + 1)
+        sums = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum((block.astype(np.uint64) + np.uint64(1)) * up[: len(block)], out=sums[1:])
+        s, e = np.maximum(starts[a:b] - base, 0), np.minimum(ends[a:b] - base, len(block))
+        part = (sums[e] - sums[s]) * down[s]
+        before = base - int(starts[a])
+        if before > 0:
+            part[:1] *= np.uint64(pow(P, before, 1 << 64))
+        out[a:b] += part
+    return mix(out)
 
 
 def words(data: np.ndarray, offsets: np.ndarray):
@@ -125,22 +149,32 @@ def character_classes() -> np.ndarray:
     return table
 
 
+def byte_kinds(data: np.ndarray) -> np.ndarray | None:
+    """The class of each byte's character; None where all are ASCII."""
+    if not (data >= 0xC0).any():
+        return None
+    of = shared("word bytes", word_bytes)[data].astype(np.uint8)
+    classes = shared("character classes", character_classes)
+    for base in range(0, len(data), BLOCK_BYTES):
+        lead = base + np.flatnonzero(data[base : base + BLOCK_BYTES] >= 0xC0)
+        first = data[lead].astype(np.int64)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        code = first & (0x7F >> size)
+        for k in (1, 2, 3):
+            more = size > k
+            code[more] = code[more] << 6 | (data[lead[more] + k] & 0x3F)
+        found = classes[code]
+        for k in range(4):
+            more = size > k
+            of[lead[more] + k] = found[more]
+    return of
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray):
     """(starts, ends, row of each token), as words() but by characters."""
-    lead = np.flatnonzero(data >= 0xC0)
-    if not len(lead):
+    of = byte_kinds(data)
+    if of is None:
         return words(data, offsets)
-    first = data[lead].astype(np.int64)
-    size = 2 + (first >= 0xE0) + (first >= 0xF0)
-    code = first & (0x7F >> size)
-    for k in (1, 2, 3):
-        more = size > k
-        code[more] = code[more] << 6 | (data[lead[more] + k] & 0x3F)
-    found = shared("character classes", character_classes)[code]
-    of = shared("word bytes", word_bytes)[data].astype(np.uint8)
-    for k in range(4):
-        more = size > k
-        of[lead[more] + k] = found[more]
     inside = of != SEPARATES
     before = np.concatenate([[np.uint8(SEPARATES)], of[:-1]])
     opens = inside & ((before == SEPARATES) | (of == ALONE) | (of == IN_WORD) & ((before == ALONE) | (before == MARK_ALONE)))

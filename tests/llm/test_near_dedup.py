@@ -107,3 +107,22 @@ def test_near_copies_in_text_without_blanks_are_found(make):
     other = "图书馆新买了许多关于天文和历史的书籍，学生们排队登记借阅，管理员忙得没有时间喝茶。"
     docs = make([(1, text, "zh", "a"), (2, text.replace("老", "男"), "zh", "a"), (3, other, "zh", "a")])
     assert [(r.keeper_id, r.doc_id) for r in near_dedup.pairs(docs).collect()] == [(1, 2)]
+
+
+def test_large_buckets_give_the_same_in_blocks(make):
+    """Pages of a template: half of each is shared by all, so buckets are large and hold many that are unlike."""
+    import dataclasses
+
+    rng = random.Random(9)
+    head = [f"t{k}" for k in range(60)]
+    bodies = [[f"w{rng.randint(0, 5000)}" for _ in range(60)] for _ in range(60)]
+    rows = [(k, " ".join(head + [w if rng.random() > 0.02 else "x" for w in bodies[k % 60]]), "en", "a") for k in range(150)]
+    plain = lambda p: sorted((r.keeper_id, r.doc_id, r.similarity) for r in N.pairs(make(rows), p).collect())
+    want = plain(P)
+    assert want and plain(dataclasses.replace(P, block=5)) == want
+
+
+def test_texts_of_ids_that_stand_once_are_moved_once(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = N.deduplicate(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("text#") <= 4

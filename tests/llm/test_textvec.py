@@ -62,3 +62,17 @@ def test_tokens_are_those_of_a_regular_expression(texts):
 def test_scripts_without_blanks_marks_and_typographic_signs():
     got = tokens_of(["全文检索，很快。ok", "“it’s” — a\u00a0test…", "\"it's\" - a test...", "ที่นี่", "e\u0301a naïve", "か\u3099き", "日本go語", "한국어 문장"], 1000)
     assert got == [list("全文检索很快") + ["ok"], ["it", "s", "a", "test"], ["it", "s", "a", "test"], ["ที่", "นี่"], ["e\u0301a", "naïve"], ["か\u3099", "き"], ["日", "本", "go", "語"], ["한국어", "문장"]]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab1 é-\n語か“", max_size=60), min_size=1, max_size=5), st.integers(1, 40))
+def test_blocks_of_any_size_give_the_same(texts, block):
+    ((_, data, offsets),) = V.chunks(pa.array(texts, pa.string()), 1 << 40)
+    before, made = V.BLOCK_BYTES, []
+    try:
+        for V.BLOCK_BYTES in (before, block):
+            s, e, r = V.tokens(data, offsets)
+            made.append([list(x) for x in (s, e, r, V.span_hashes(data, s, e))])
+    finally:
+        V.BLOCK_BYTES = before
+    assert made[0] == made[1]
