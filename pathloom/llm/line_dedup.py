@@ -1,15 +1,16 @@
 """Line dedup: sharded cuckoo filters backed by exact reference-count tables.
 
 A line's key is 128 bits of hash of its text with outer white space removed; its shard is a part
-of the key. The state has two tables:
+of the key. The state of a LineStore has three tables:
 
-    refs     shard, k1, k2, n_refs, doc_id, pos   exact counts, and the place of the kept line
-    filters  shard, n_keys, buckets, slots        a cuckoo filter over the shard's keys
+    places   shard, k1, k2, doc_id, h, pos   where each line stands; refs, their count and first by key
+    gone     doc_id, h                       documents deleted since, with the time of it
+    filters  shard, n_keys, slots            a cuckoo filter over the shard's live keys
 
-Inserting documents probes the shard's filter first: a line it has not seen is certainly new and
-is appended; only lines it may have seen are joined with the exact table. Deleting documents
-lowers counts, and keys without references leave table and filter, so that insert(A+B) followed
-by delete(B) equals insert(A).
+Inserting documents appends their places and probes the filters of their shards: a line that a filter has not
+seen is certainly new; only lines it may have seen are looked up in the exact table, so that a key enters a
+filter once. Deleting appends to `gone`; keys of which no place is left leave the filters. Nothing written
+before is written again, but by compact(). insert(A+B) followed by delete(B) equals insert(A).
 
 Within one batch the same filter, filled in reading order while a shard streams through, passes
 only lines that may be repeats; these are held against the exact table, which decides.
@@ -21,12 +22,15 @@ structure rather than copied text.
 Defined results: a null text stays null with no lines; an empty text stays empty. Rows without a
 doc_id are returned unchanged and count for nothing. Repeated rows of one document are one
 document and get the same text. Different texts under one doc_id are ordered by a hash of the
-text. Ties can't occur beyond that. An empty table gives an empty result.
+text. Ties can't occur beyond that. A very long text is cut into lines like any other. A column named
+lines_removed is replaced by the result's. An empty table gives an empty result. In a LineStore,
+inserting a document again changes nothing, and so does deleting one that isn't in it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -164,20 +168,21 @@ def screened(lines: DataFrame, p: LineDedupParams) -> DataFrame:
     """Lines that may be repeats: each shard streams in reading order through a cuckoo filter that keeps what it has seen."""
 
     def run(batches):
-        filters: dict[int, tuple[Cuckoo, list]] = {}
+        at, filter_, stored = None, None, []  # rows come shard by shard, so one filter is held at a time
         for batch in batches:
             shard = batch.column(0).to_numpy()
             keys = batch.column(1).to_numpy().view(np.uint64)
             maybe = np.zeros(len(keys), bool)
-            for s in np.unique(shard):
-                rows = np.flatnonzero(shard == s)
-                _, first = np.unique(keys[rows], return_index=True)
-                seen = np.ones(len(rows), bool)
+            edges = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]) if len(shard) else [0]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if shard[a] != at:
+                    at, filter_, stored = shard[a], Cuckoo(1 << 14, p.load), []
+                _, first = np.unique(keys[a:b], return_index=True)
+                seen = np.ones(b - a, bool)
                 seen[first] = False
-                filter_, stored = filters.setdefault(int(s), (Cuckoo(1 << 14, p.load), []))
-                known = filter_.contains(keys[rows])
-                new = keys[rows][~seen & ~known]
-                maybe[rows] = seen | known
+                known = filter_.contains(keys[a:b])
+                new = keys[a:b][~seen & ~known]
+                maybe[a:b] = seen | known
                 stored.append(new)
                 if sum(map(len, stored)) > p.load * filter_.slots.size:
                     filter_ = Cuckoo.of(np.concatenate(stored), p.load / 3)
@@ -186,7 +191,6 @@ def screened(lines: DataFrame, p: LineDedupParams) -> DataFrame:
                         filter_.insert(new)
                     except Cuckoo.Full:
                         filter_ = Cuckoo.of(np.concatenate(stored), p.load / 2)
-                filters[int(s)] = (filter_, stored)
             if maybe.any():
                 yield batch.filter(pa.array(maybe))
 
@@ -194,7 +198,7 @@ def screened(lines: DataFrame, p: LineDedupParams) -> DataFrame:
     return (
         lines.select(*columns)
         .repartition("shard")
-        .sortWithinPartitions("doc_id", "h", "pos")
+        .sortWithinPartitions("shard", "doc_id", "h", "pos")
         .mapInArrow(run, "shard int, k1 long, k2 long, doc_id long, h long, pos int")
     )
 
@@ -228,19 +232,52 @@ def something_left(p: LineDedupParams = LineDedupParams()) -> Column:
     return (F.col("lines_removed") == 0) | F.exists(F.split("text", "\n", -1), lambda x: F.length(F.trim(x)) >= p.min_chars)
 
 
+PLACES = "shard int, k1 long, k2 long, doc_id long, h long, pos int, at int"
+KEY = ["shard", "k1", "k2"]
+PLACE = ["doc_id", "h", "pos"]
+
+
 class LineStore:
-    """The state, held as two tables in the shared folder; insert and delete return a new state."""
+    """The state, held as tables in the shared folder; insert, delete and compact return a new state and leave the old one."""
 
-    def __init__(self, spark: SparkSession, refs: DataFrame, filters: DataFrame, shards: int, p: LineDedupParams):
-        self.spark, self.refs, self.filters, self.shards, self.p = spark, refs, filters, shards, p
+    def __init__(self, spark: SparkSession, shards: int, p: LineDedupParams, at: int = 0, segments=(), gone=(), filters=()):
+        """segments, gone: tables written so far; filters: (table, the shards for which it is the newest)."""
+        self.spark, self.shards, self.p, self.at = spark, shards, p, at
+        self.segments, self.gone, self._filters = segments, gone, filters
 
     @classmethod
     def empty(cls, spark: SparkSession, shards: int = 64, p: LineDedupParams = LineDedupParams()) -> LineStore:
-        refs = spark.createDataFrame([], "shard int, k1 long, k2 long, n_refs long, first struct<doc_id: bigint, h: bigint, pos: int>")
-        return cls(spark, refs, spark.createDataFrame([], "shard int, n_keys long, slots binary"), shards, p)
-
-    def _probe(self, batch: DataFrame) -> DataFrame:
-        """The batch's distinct keys, each with whether its shard's filter may know it; a shard's keys are distinct and evenly spread."""
+        return cls(spark, shards, p)
+
+    def places(self, shards: list[int] | None = None) -> DataFrame:
+        """The live places, of some shards only where these are named; a place that was inserted twice is one."""
+        every = reduce(DataFrame.unionByName, self.segments, self.spark.createDataFrame([], PLACES))
+        if shards is not None:
+            every = every.filter(F.col("shard").isin(shards))
+        if self.gone:
+            left = reduce(DataFrame.unionByName, self.gone).groupBy("doc_id", "h").agg(F.max("at").alias("left"))
+            every = every.join(left, ["doc_id", "h"], "left").filter("left is null or at > left")
+        return every.select(*KEY, *PLACE).distinct()
+
+    @property
+    def refs(self) -> DataFrame:
+        """shard, k1, k2, n_refs, first: the exact table."""
+        return counted(self.places())
+
+    @property
+    def filters(self) -> DataFrame:
+        parts = [df.filter(F.col("shard").isin(own)) for df, own in self._filters]
+        return reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], "shard int, n_keys long, slots binary"))
+
+    def _next(self, segments=None, gone=None, filters=None) -> LineStore:
+        keep = lambda new, old: old if new is None else new
+        return LineStore(self.spark, self.shards, self.p, self.at + 1, keep(segments, self.segments), keep(gone, self.gone), keep(filters, self._filters))
+
+    def _lines(self, docs: DataFrame) -> DataFrame:
+        return lines_of(docs, self.p, self.shards).select(*KEY, *PLACE).distinct()
+
+    def _probe(self, keys: DataFrame, touched: list[int]) -> DataFrame:
+        """Distinct keys, each with whether its shard's filter may know it; a shard's keys are distinct and evenly spread."""
 
         def run(keys, filters):
             import pandas as pd
@@ -248,59 +285,75 @@ class LineStore:
             known = np.zeros(len(keys), bool)
             if len(filters) and len(keys):
                 known = Cuckoo(slots=np.frombuffer(filters.slots.iloc[0], np.uint16).reshape(-1, SLOTS).copy()).contains(keys.k1.to_numpy().view(np.uint64))
-            return pd.DataFrame({"k1": keys.k1, "k2": keys.k2, "known": known})
+            return pd.DataFrame({"shard": keys.shard, "k1": keys.k1, "k2": keys.k2, "known": known})
 
-        return batch.select("shard", "k1", "k2").groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(run, "k1 long, k2 long, known boolean")
+        own = self.filters.filter(F.col("shard").isin(touched))
+        return keys.groupBy("shard").cogroup(own.groupBy("shard")).applyInPandas(run, "shard int, k1 long, k2 long, known boolean")
 
-    def _refilter(self, refs: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
-        """Filters with keys added and removed, shard by shard; a full one is rebuilt, larger, from the exact table on the next insert."""
+    def _changed(self, after: LineStore, changes: DataFrame) -> LineStore:
+        """`after` with filters in which the changes (shard, k1, step: 1 added, -1 removed) are made; only their shards are
+        written, and only those that are full are made anew, larger, from the exact table."""
         load = self.p.load
 
         def run(changes, filters):
             import pandas as pd
 
-            if not len(changes):
-                return filters[["shard", "n_keys", "slots"]]
-            plus = changes[changes.step > 0].k1.to_numpy().view(np.uint64)
-            minus = changes[changes.step < 0].k1.to_numpy().view(np.uint64)
-            every = changes[changes.step == 0].k1.to_numpy().view(np.uint64)
-            n = len(every)
+            shard = changes.shard.iloc[0] if len(changes) else filters.shard.iloc[0]
+            plus, minus = (changes[changes.step == k].k1.to_numpy().view(np.uint64) for k in (1, -1))
+            n = int(filters.n_keys.iloc[0] if len(filters) else 0) + len(plus) - len(minus)
             try:
-                if not len(filters) or n > load * len(filters.slots.iloc[0]) / 2:
+                if len(filters) and n > load * len(filters.slots.iloc[0]) / 2:
                     raise Cuckoo.Full
-                made = Cuckoo(slots=np.frombuffer(filters.slots.iloc[0], np.uint16).reshape(-1, SLOTS).copy())
+                made = Cuckoo(slots=np.frombuffer(filters.slots.iloc[0], np.uint16).reshape(-1, SLOTS).copy()) if len(filters) else Cuckoo(n, load)
                 made.delete(minus)
                 made.insert(plus)
+                slots = made.slots.tobytes()
             except Cuckoo.Full:
-                made = Cuckoo.of(every, load)
-            return pd.DataFrame({"shard": [changes.shard.iloc[0]], "n_keys": [n], "slots": [made.slots.tobytes()]})
+                slots = None
+            return pd.DataFrame({"shard": [shard], "n_keys": [n], "slots": [slots]})
+
+        def again(keys):
+            import pandas as pd
 
-        tag = lambda df, k: df.select("shard", "k1", F.lit(k).alias("step"))
-        changes = tag(refs, 0).unionByName(tag(added, 1)).unionByName(tag(removed, -1))
-        return changes.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(run, "shard int, n_keys long, slots binary")
+            return pd.DataFrame({"shard": [keys.shard.iloc[0]], "n_keys": [len(keys)], "slots": [Cuckoo.of(keys.k1.to_numpy().view(np.uint64), load).slots.tobytes()]})
+
+        schema = "shard int, n_keys long, slots binary"
+        changes = common.stored(changes)
+        shards = [r.shard for r in changes.select("shard").distinct().collect()]
+        if not shards:
+            return after
+        own = self.filters.filter(F.col("shard").isin(shards))
+        made = common.stored(changes.groupBy("shard").cogroup(own.groupBy("shard")).applyInPandas(run, schema))
+        full = [r.shard for r in made.filter("slots is null").select("shard").collect()]
+        parts = [(df, [s for s in of if s not in set(shards)]) for df, of in self._filters] + [(made, [s for s in shards if s not in set(full)])]
+        if full:
+            parts.append((common.stored(after.places(full).select(*KEY).distinct().groupBy("shard").applyInPandas(again, schema)), full))
+        return LineStore(self.spark, self.shards, self.p, after.at, after.segments, after.gone, tuple(x for x in parts if x[1]))
 
     def insert(self, docs: DataFrame) -> LineStore:
-        batch = common.stored(counted(lines_of(docs, self.p, self.shards)))
-        probed = common.stored(self._probe(batch))
-        maybe = batch.join(probed.filter("known"), ["k1", "k2"], "left_semi")
-        new = batch.join(probed.filter("not known"), ["k1", "k2"], "left_semi")
-        old = self.refs.join(maybe.select("k1", "k2", F.col("n_refs").alias("more"), F.col("first").alias("other")), ["k1", "k2"], "left")
-        raised = old.select("shard", "k1", "k2", (F.col("n_refs") + F.coalesce("more", F.lit(0))).alias("n_refs"), F.least("first", "other").alias("first"))
-        mistaken = maybe.join(self.refs, ["k1", "k2"], "left_anti")  # the filter's false positives are new after all
-        added = new.unionByName(mistaken)
-        refs = common.stored(raised.unionByName(added))
-        return LineStore(self.spark, refs, common.stored(self._refilter(refs, added, added.limit(0))), self.shards, self.p)
-
-    def delete(self, gone: DataFrame, remaining: DataFrame) -> LineStore:
-        """Without the documents `gone`; `remaining` are the others, read only for lines whose kept place went."""
-        less = counted(lines_of(gone, self.p, self.shards)).select("k1", "k2", F.col("n_refs").alias("less"), F.col("first").alias("left"))
-        both = common.stored(self.refs.join(less, ["k1", "k2"], "left").withColumn("now", F.col("n_refs") - F.coalesce("less", F.lit(0))))
-        dead = both.filter("now <= 0")
-        orphans = both.filter("now > 0 and left = first").select("k1", "k2")
-        again = counted(lines_of(remaining, self.p, self.shards).join(orphans, ["k1", "k2"], "left_semi")).select("k1", "k2", F.col("first").alias("next"))
-        live = both.filter("now > 0").join(again, ["k1", "k2"], "left")
-        refs = common.stored(live.select("shard", "k1", "k2", F.col("now").alias("n_refs"), F.coalesce("next", "first").alias("first")))
-        return LineStore(self.spark, refs, common.stored(self._refilter(refs, dead.limit(0), dead)), self.shards, self.p)
+        segment = common.stored(self._lines(docs).withColumn("at", F.lit(self.at + 1)).repartition("shard").sortWithinPartitions("shard", "k1"))
+        keys = segment.select(*KEY).distinct()
+        touched = [r.shard for r in keys.select("shard").distinct().collect()]
+        probed = common.stored(self._probe(keys, touched))
+        maybe = probed.filter("known").select(*KEY)
+        mistaken = maybe.join(self.places(touched).select(*KEY).distinct(), KEY, "left_anti")  # the filter's false positives are new after all
+        added = probed.filter("not known").select(*KEY).unionByName(mistaken)
+        return self._changed(self._next(segments=(*self.segments, segment)), added.select("shard", "k1", F.lit(1).alias("step")))
+
+    def delete(self, gone: DataFrame, remaining: DataFrame | None = None) -> LineStore:
+        """Without the documents `gone`. The state knows all places, so the remaining documents needn't be read and may be left out."""
+        lines = common.stored(self._lines(gone))
+        touched = [r.shard for r in lines.select("shard").distinct().collect()]
+        left = common.stored(lines.select("doc_id", "h").distinct().withColumn("at", F.lit(self.at + 1)))
+        after = self._next(gone=(*self.gone, left))
+        had = self.places(touched).join(left, ["doc_id", "h"], "left_semi").select(*KEY).distinct()
+        dead = had.join(after.places(touched).select(*KEY).distinct(), KEY, "left_anti")
+        return self._changed(after, dead.select("shard", "k1", F.lit(-1).alias("step")))
+
+    def compact(self) -> LineStore:
+        """The same state with its places in one table, those of deleted documents left behind."""
+        every = self.places().withColumn("at", F.lit(self.at)).repartition("shard").sortWithinPartitions("shard", "k1")
+        return self._next(segments=(common.stored(every),), gone=())
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

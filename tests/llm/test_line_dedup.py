@@ -90,3 +90,41 @@ def test_the_pipeline_keeps_short_lines_of_a_document_that_lost_one(make, spark)
     rows = [(1, header + "\nand a first line of its own", "en", "a"), (2, header + "\n" + numbers, "en", "a"), (3, header + "\n春眠不觉晓\n处处闻啼鸟", "zh", "a"), (4, header, "en", "b"), (5, header + "\n \t\u00a0\n", "en", "b"), (6, "", "en", "b"), (7, None, "en", "b")]
     out = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, make(rows), "").collect()}
     assert set(out) == {1, 2, 3, 6, 7} and out[2] == numbers and out[3] == "春眠不觉晓\n处处闻啼鸟"
+
+
+def test_many_shards_in_one_task(make, spark):
+    """Filters of one task follow each other; few keys a shard, and all shards in one partition."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "\n".join(f"line number {k}" for k in rng.integers(0, 300, 12)), "en", "a") for i in range(120)]
+    p = D.LineDedupParams(min_chars=3, chars_per_shard=100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        docs = make(rows)
+        assert D.shards_for(docs, p) > 100
+        got = {r.doc_id: r.text for r in D.deduplicate(docs, p).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute([(i, t) for i, t, *_ in rows], 3)
+
+
+def test_store_takes_odd_documents(make, odd_rows, spark):
+    a = make(odd_rows, extra=True)
+    one = D.LineStore.empty(spark, 4).insert(a)
+    assert table(one) == table(D.LineStore.empty(spark, 4).insert(a.filter("doc_id is not null and text is not null").distinct()))
+    assert table(one.insert(a)) == table(one)  # a document that is there already
+    strange = make([(1, "another text than that of one", "en", "a"), (99, odd_rows[0][1], "en", "a"), (None, odd_rows[0][1], "en", "a"), (4, None, "en", "a")])
+    assert table(one.delete(strange)) == table(one)  # none of these is in it
+    assert table(one.delete(a)) == [] and one.delete(a).filters.filter("n_keys > 0").count() == 0
+    back = one.delete(a).insert(a)
+    assert table(back) == table(one) == table(back.compact())
+    assert table(D.LineStore.empty(spark, 4).insert(make([]))) == []
+
+
+def test_filters_grow_with_their_shards(make, spark):
+    store = D.LineStore.empty(spark, 2)
+    for k in range(3):
+        store = store.insert(make([(k, "\n".join(f"line {k} number {n} of many" for n in range(400 * (k + 1))), "en", "a")]))
+    assert sum(r.n_keys for r in store.filters.collect()) == store.refs.count() == 2400
+    keys = {s: np.array([r.k1 for r in store.refs.filter(f"shard = {s}").collect()], np.int64).view(np.uint64) for s in (0, 1)}
+    assert all(D.Cuckoo(slots=np.frombuffer(r.slots, np.uint16).reshape(-1, D.SLOTS)).contains(keys[r.shard]).all() for r in store.filters.collect())
