@@ -17,7 +17,8 @@ ids are smallest, whole texts each.
 Defined results: null and empty texts, and all texts where no labelled document can be had, get
 a null language, no bits and a margin of 0. Ties go to the first language by name. Rows with a
 null or repeated doc_id, null declared language or any other null are scored as any other row. A
-table with one language gives that language. An empty table gives an empty result.
+table with one language gives that language. A very long text is coded whole, a block at a time. Columns
+named as one of the result's are replaced by it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -104,7 +105,18 @@ class Coder:
             lower_keys, lower = keys, costs
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """[texts, languages] of bits."""
+        """[texts, languages] of bits; a long text goes a block at a time, each after the bytes of its context."""
+        block = max(textvec.BLOCK_BYTES, self.order)
+        if len(offsets) != 2 or len(data) <= block:
+            return self._code_lengths(data, offsets)
+        total = self._code_lengths(data[:block], np.array([0, block]))
+        for base in range(block, len(data), block):
+            piece = data[base - self.order : base + block]
+            total += self._code_lengths(piece, np.array([0, len(piece)]), begins=False)
+        return total
+
+    def _code_lengths(self, data: np.ndarray, offsets: np.ndarray, begins: bool = True) -> np.ndarray:
+        """As code_lengths(); without `begins`, the first bytes are context only."""
         total = np.zeros((len(offsets) - 1, len(self.names)))
         if not len(data):
             return total
@@ -124,7 +136,7 @@ class Coder:
             known = self.contexts[k].get(textvec.mix((value >> np.uint64(8)) + np.uint64(k + 1)))
             add(at[known >= 0], self.escapes[k][known[known >= 0]])
             if k:  # one byte less of context; the k-th byte of each text now has all the context that there is
-                first = offsets[:-1][np.diff(offsets) >= k]
+                first = offsets[:-1][(np.diff(offsets) >= k) & begins]
                 begin = np.zeros(len(first), np.uint64)
                 for j in range(k):
                     begin = (begin << np.uint64(8)) | data[first + j].astype(np.uint64)
@@ -143,7 +155,8 @@ def train(docs: DataFrame, p: LanguageParams = LanguageParams()) -> dict[str, li
     ids = docs.filter("lang is not null and doc_id is not null").filter("coalesce(n_chars, 1) > 0" if "n_chars" in docs.columns else "true").select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= p.sample_docs).select("doc_id", "lang").distinct()
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).filter("text is not null").distinct().collect()
+    some = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).filter("text is not null")
+    rows = some.groupBy("lang", "doc_id").agg(F.min_by("text", common.row_key()).alias("text")).collect()  # one text an id
     out: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text)):
         out.setdefault(row.lang, []).append(row.text)

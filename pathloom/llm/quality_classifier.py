@@ -8,13 +8,14 @@ of high quality and not toxic; the score is the probability of that.
 
 Features: the distinct words of the whole text (hashed), bins of structure statistics, and
 language and source. The model is fitted on at most `sample_rows` labelled documents, those whose
-hashed ids are smallest; features in fewer than `min_docs`, or a share `min_share`, of them carry no weight.
+hashed ids are smallest, one row of each id; features in fewer than `min_docs`, or a share `min_share`, of them carry no weight.
 
 Defined results: a null text counts as empty; an empty text has only its structure and metadata
 features. Null lang or source is a value of its own. A document without an id is scored as any
 other. Repeated rows get equal scores. Labels with a null quality are unused, a null toxic counts
 as 0; where no labels, or only one class, can be had, every score is the base rate (1 without
-labels) and all are kept. An empty table gives an empty result.
+labels) and all are kept. A very long text is read whole, as one piece. Columns named as one of the
+result's are replaced by it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -213,7 +214,10 @@ def labelled(docs: DataFrame, labels: DataFrame, p: QualityParams) -> DataFrame:
     )
     have = [c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]
     # at most sample_rows pairs of numbers, whatever the size of the tables
-    return docs.select(*have).join(F.broadcast(picked), "doc_id")
+    some = docs.select(*have).join(F.broadcast(picked), "doc_id")
+    # one row an id: of a repeated one, that whose text has the smallest hash
+    row = F.struct(*[c for c in have if c != "doc_id"], "__pl_y")
+    return some.groupBy("doc_id").agg(F.min_by(row, F.struct(common.row_key(), *[F.col(c) for c in ("lang", "source") if c in have])).alias("r")).select("doc_id", "r.*")
 
 
 def train(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> Model:
