@@ -3,22 +3,26 @@
 Words are the tokens of textvec. An item's grams are its runs of `gram` words, or the item itself
 where it is shorter; single words are no evidence, so items under `least` words are left out.
 Every window of every document is looked up; a hit is verified word for word against the item and
-extended to the longest common run. A run counts where it has at least `run` words or half of the
-item's words. The words of counted runs are removed from the text, with all that lies between
+extended to the longest common run. Runs of one item with at most `gram` words between them count together:
+they must have at least `run` words or half of the item's words. The words of counted runs are removed from the text, with all that lies between
 them; where they are at least `drop_share` of the document's words, the document goes.
 
 The items are collected and broadcast only while they have at most `broadcast_chars` characters.
-Beyond that, documents are first matched with items by a shuffled join of gram hashes, and each
-document is then searched with its own items only: the same result for any size of the benchmark.
+Beyond that, documents are first matched with items by a shuffled join of gram hashes, of which only those
+in a bitmap of the items' grams (2^27 bits, whatever the benchmark) leave the documents, and are then
+searched with the items so found: the same result for any size of the benchmark.
 
 Defined results: null and empty texts have no windows and stay as they are; an item without text
-is ignored; repeated items count once, under the smallest item_id; rows with null or repeated
-doc_id are treated row by row. Ties between items on one run go to the smallest item_id. An empty
-benchmark leaves all documents unchanged; empty documents give an empty result.
+is ignored; repeated items count once, under the smallest item_id; an item without item_id is searched
+like others and reported as null, after all ids; rows with null or repeated doc_id are treated row by
+row. Ties between items on one run go to the smallest item_id. A very long text is searched whole. Columns
+named as one of the result's are replaced by it. An empty benchmark leaves all documents unchanged; empty
+documents give an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,19 +41,26 @@ class DecontaminateParams:
     least: int = 4
     run: int = 13
     drop_share: float = 0.5
-    broadcast_chars: int = 64 << 20
+    broadcast_chars: int = 16 << 20
+
+
+BITMAP = 1 << 27
+
+
+def by_id(item: int | None) -> tuple:
+    return (item is None, item or 0)
 
 
 class Items:
     """Grams of the benchmark: sorted hashes with the item and place of each, by window size."""
 
-    def __init__(self, rows: list[tuple[int, str]], p: DecontaminateParams):
-        best: dict[tuple, int] = {}
-        for item, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+    def __init__(self, rows: list[tuple[int | None, str]], p: DecontaminateParams):
+        best: dict[tuple, int | None] = {}
+        for item, text in sorted(rows, key=lambda r: by_id(r[0])):
             words = tuple(split(text))
-            if item is not None and len(words) >= p.least:
+            if len(words) >= p.least:
                 best.setdefault(words, item)
-        self.words, self.ids = list(best), np.array(list(best.values()), np.int64)
+        self.words, self.ids = list(best), list(best.values())
         self.sizes = sorted({min(p.gram, len(w)) for w in self.words})
         self.grams = {}
         for n in self.sizes:
@@ -89,34 +100,23 @@ def candidates(hashes: np.ndarray, rows: np.ndarray, items: Items):
         yield from ((int(first[near[k]]), n, range(a[k], b[k])) for k in hit)
 
 
-def clean(column, items_of, p: DecontaminateParams):
-    """For each text: (text or None if unchanged, item ids, words removed, words in all); items_of(row) may differ by row."""
+def clean(column, items: Items, p: DecontaminateParams):
+    """For each text: (text or None if unchanged, item ids, words removed, words in all)."""
     out: list[tuple] = [(None, [], 0, 0)] * len(column)
     for row, data, offsets in textvec.chunks(textvec.lower(column)):
         starts, ends, rows = textvec.tokens(data, offsets)
         hashes = textvec.span_hashes(data, starts, ends)
         total = np.bincount(rows, minlength=len(offsets) - 1)
         hits: dict[int, list] = {}
-        shared_items = items_of(None)
-        if shared_items:
-            for at, n, range_ in candidates(hashes, rows, shared_items):
-                hits.setdefault(int(rows[at]), []).append((at, n, range_, shared_items))
-        else:
-            begin = np.searchsorted(rows, np.arange(len(offsets)))
-            for r in range(len(offsets) - 1):
-                own = items_of(row + r)
-                if own:
-                    s = slice(begin[r], begin[r + 1])
-                    for at, n, range_ in candidates(hashes[s], rows[s], own):
-                        hits.setdefault(r, []).append((at + begin[r], n, range_, own))
-        raw = None
+        for at, n, range_ in candidates(hashes, rows, items):
+            hits.setdefault(int(rows[at]), []).append((at, n, range_))
+        raw = data.tobytes() if hits else b""
         for r, found in hits.items():
-            raw = raw or data.tobytes()
             lo, hi = np.searchsorted(rows, [r, r + 1])
             word = lambda k: raw[starts[k] : ends[k]].decode(errors="replace")  # noqa: B023, E731
-            runs: dict[tuple[int, int], int] = {}
+            verified: dict[int, set[tuple[int, int]]] = {}
             until: dict[tuple[int, int], int] = {}  # by item and alignment, where the last run ended
-            for at, n, range_, items in sorted(found, key=lambda x: x[:2]):
+            for at, n, range_ in sorted(found, key=lambda x: x[:2]):
                 for g in range_:
                     item, place = int(items.grams[n][1][g]), int(items.grams[n][2][g])
                     want, line = items.words[item], (item, at - place)
@@ -128,8 +128,13 @@ def clean(column, items_of, p: DecontaminateParams):
                     while b < hi and b - at + place < len(want) and word(b) == want[b - at + place]:
                         b += 1
                     until[line] = b
-                    if b - a >= p.run or 2 * (b - a) >= len(want):
-                        runs[a, b] = min(runs.get((a, b), int(items.ids[item])), int(items.ids[item]))
+                    verified.setdefault(item, set()).add((a, b))
+            runs: dict[tuple[int, int], int | None] = {}
+            for item, own in verified.items():
+                for group, n in neighbours(sorted(own), p.gram):
+                    if n >= p.run or 2 * n >= len(items.words[item]):
+                        for run in group:
+                            runs[run] = min(runs.get(run, items.ids[item]), items.ids[item], key=by_id)
             if runs:
                 text, cut = column[row + r].as_py(), []
                 for a, b in sorted(runs):
@@ -149,10 +154,24 @@ def clean(column, items_of, p: DecontaminateParams):
                     parts.append(exact[at:x])
                     at = y
                 parts.append(exact[at:])
-                out[row + r] = (b"".join(parts).decode(errors="ignore"), sorted(set(runs.values())), removed, int(total[r]))
+                out[row + r] = (b"".join(parts).decode(errors="ignore"), sorted(set(runs.values()), key=by_id), removed, int(total[r]))
     return out
 
 
+def neighbours(runs: list[tuple[int, int]], gap: int):
+    """Groups of sorted runs with at most `gap` words between one and the next, and the words that each covers."""
+    group, n, end = [], 0, None
+    for a, b in runs:
+        if end is not None and a - end > gap:
+            yield group, n
+            group, n, end = [], 0, None
+        group.append((a, b))
+        n += max(0, b - max(a, end if end is not None else a))
+        end = b if end is None else max(end, b)
+    if group:
+        yield group, n
+
+
 def places(text: str) -> tuple[list[int], list[int]]:
     """Byte places of the words in a text whose lower case has another length, character by character."""
     low, at = [], []
@@ -168,8 +187,8 @@ def places(text: str) -> tuple[list[int], list[int]]:
     return [at[s][0] for s in starts], [at[e - 1][1] for e in ends]
 
 
-def decisions(column, items_of, p: DecontaminateParams) -> dict:
-    found = clean(column, items_of, p)
+def decisions(column, items: Items, p: DecontaminateParams) -> dict:
+    found = clean(column, items, p)
     drop = [bool(items) and removed >= p.drop_share * total for _, items, removed, total in found]
     texts = column.to_pylist()
     return {
@@ -183,17 +202,17 @@ def decisions(column, items_of, p: DecontaminateParams) -> dict:
 
 def annotate(docs: DataFrame, benchmark: DataFrame, p: DecontaminateParams = DecontaminateParams()) -> DataFrame:
     """docs with text cleaned and the decisions; nothing is dropped yet."""
-    items = benchmark.filter("text is not null and item_id is not null").select("item_id", "text")
+    items = benchmark.filter("text is not null").select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     order = docs.columns
     added = "text string, " + ADDED
     if size <= p.broadcast_chars:
         rows = [(r[0], r[1]) for r in items.collect()]
-        sent = docs.sparkSession.sparkContext.broadcast(rows)
+        sent, name = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
         def make():
-            made = Items(sent.value, p)
-            return lambda batch: decisions(batch.column(batch.schema.get_field_index("text")), lambda row: made, p)
+            made = textvec.latest("items", name, lambda: Items(sent.value, p))  # once a worker
+            return lambda batch: decisions(batch.column(batch.schema.get_field_index("text")), made, p)
 
         out = common.mapped(docs, added, make)
     else:
@@ -202,39 +221,66 @@ def annotate(docs: DataFrame, benchmark: DataFrame, p: DecontaminateParams = Dec
 
 
 def by_row(batch, p: DecontaminateParams) -> dict:
+    """All items of a batch are searched in all of its texts: what a text matches, the join has found for it."""
     ids, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__pl_ids", "__pl_texts"))
+    some = {pair for i, t in zip(ids, texts) if i for pair in zip(i, t)}
+    return decisions(batch.column(batch.schema.get_field_index("text")), Items(list(some), p), p)
+
+
+def item_grams(items: DataFrame, p: DecontaminateParams) -> DataFrame:
+    """(i, n, g): size and hash of every window of gram words of an item, or of the whole where it is shorter."""
+
+    def run(batches):
+        for batch in batches:
+            for row, data, offsets in textvec.chunks(textvec.lower(batch.column(1))):
+                starts, ends, of = textvec.tokens(data, offsets)
+                hashes = textvec.span_hashes(data, starts, ends)
+                count = np.minimum(np.bincount(of, minlength=len(offsets) - 1), p.gram)
+                for n in range(p.least, p.gram + 1):
+                    first, found = textvec.windows(hashes, of, n)
+                    own = count[of[first]] == n
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[first[own]] + row)), pa.array(np.full(int(own.sum()), n, np.int32)), gram_keys(found[own], n)], names=["i", "n", "g"])
 
-    def items_of(row):
-        return Items(list(zip(ids[row], texts[row])), p) if row is not None and ids[row] else None
+    return items.select("i", "text").mapInArrow(run, "i long, n int, g long").distinct()
 
-    return decisions(batch.column(batch.schema.get_field_index("text")), items_of, p)
 
+def gram_keys(hashes: np.ndarray, n: int) -> pa.Array:
+    return pa.array((hashes + np.uint64(n)).view(np.int64))
 
-def grams_of(rows: DataFrame, key: str, p: DecontaminateParams, short: bool) -> DataFrame:
-    """(key, hash) of every window: of gram words, and, for items, of the whole where it is shorter; documents give all smaller sizes."""
+
+def document_grams(docs: DataFrame, grams: DataFrame, p: DecontaminateParams) -> DataFrame:
+    """(k, g) of the documents' windows that may be an item's: of the sizes that items have and in the bitmap of their hashes."""
+    sizes = [r.n for r in grams.select("n").distinct().collect()]
+    bit = F.pmod("g", F.lit(BITMAP)) + 1
+    parts = grams.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+    bits = np.zeros(BITMAP // 8, np.uint8)
+    for r in parts.toLocalIterator():  # at most 4096 rows of 4 kB, for any number of grams
+        bits[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
+        known = sent.value
         for batch in batches:
             for row, data, offsets in textvec.chunks(textvec.lower(batch.column(1))):
                 starts, ends, of = textvec.tokens(data, offsets)
                 hashes = textvec.span_hashes(data, starts, ends)
-                count = np.bincount(of, minlength=len(offsets) - 1)
-                for n in range(p.least, p.gram + 1):
+                for n in sizes:
                     first, found = textvec.windows(hashes, of, n)
-                    if short and n < p.gram:
-                        first, found = first[count[of[first]] == n], found[count[of[first]] == n]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[first] + row)), pa.array((found + np.uint64(n)).view(np.int64))], names=[key, "g"])
+                    at = (found + np.uint64(n)) & np.uint64(BITMAP - 1)
+                    may = (known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[first[may]] + row)), gram_keys(found[may], n)], names=["k", "g"])
 
-    return rows.select(key, "text").mapInArrow(run, f"{key} long, g long")
+    return docs.select("k", "text").mapInArrow(run, "k long, g long").distinct()
 
 
 def with_items(docs: DataFrame, items: DataFrame, p: DecontaminateParams) -> DataFrame:
     """docs with the ids and texts of items with which they share a gram, by a shuffled join."""
+    common.bounded_batches(docs.sparkSession)
     keyed = docs.withColumn("__pl_key", F.xxhash64("text"))
-    hits = grams_of(keyed.filter("text is not null").select(F.col("__pl_key").alias("k"), "text"), "k", p, False).distinct()
     # one item_id may have several texts; two that share a hash are both searched
     texts = items.withColumn("i", F.xxhash64("item_id", "text")).distinct()
-    own = grams_of(texts.select("i", "text"), "i", p, True).distinct()
+    own = common.stored(item_grams(texts, p))
+    hits = document_grams(keyed.filter("text is not null").select(F.col("__pl_key").alias("k"), "text"), own, p)
     found = hits.join(own, "g").select("k", "i").distinct().join(texts, "i")
     lists = found.groupBy("k").agg(F.collect_list(F.struct("item_id", "text")).alias("own")).select("k", F.col("own.item_id").alias("__pl_ids"), F.col("own.text").alias("__pl_texts"))
     return keyed.join(lists, F.col("__pl_key") == F.col("k"), "left").drop("__pl_key", "k")
