@@ -154,7 +154,7 @@ def train(docs: DataFrame, p: LanguageParams = LanguageParams()) -> dict[str, li
     The limit by rank holds in each task before the shuffle, so ids and languages stay where they are."""
     ids = docs.filter("lang is not null and doc_id is not null").filter("coalesce(n_chars, 1) > 0" if "n_chars" in docs.columns else "true").select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= p.sample_docs).select("doc_id", "lang").distinct()
+    chosen = ids.withColumn("n", F.dense_rank().over(order)).filter(F.col("n") <= p.sample_docs).select("doc_id", "lang").distinct()
     some = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).filter("text is not null")
     rows = some.groupBy("lang", "doc_id").agg(F.min_by("text", common.row_key()).alias("text")).collect()  # one text an id
     out: dict[str, list[str]] = {}

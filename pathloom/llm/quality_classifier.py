@@ -187,17 +187,18 @@ def fit(indptr: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, p:
             squares[full] = np.add.reduceat((xv**2).sum(axis=1), (ends - sizes)[full])
             z = bias + np.bincount(of, weights=w[i] * x, minlength=len(docs)) + 0.5 * ((total**2).sum(axis=1) - squares)
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[docs]) / 1.0
-            by = np.argsort(i, kind="stable")
-            si = i[by]
-            first = np.flatnonzero(np.concatenate([[True], si[1:] != si[:-1]]))
-            u = si[first]
-            gx = (g[of] * x)[by]
-            dw = np.add.reduceat(gx, first) / len(docs) + p.l2 * w[u]
-            dv = np.add.reduceat(gx[:, None] * (total[of] - xv)[by], first, axis=0) / len(docs) + p.l2 * v[u]
-            gw[u] += dw**2
-            gv[u] += dv**2
-            w[u] -= step * dw / np.sqrt(gw[u])
-            v[u] -= step * dv / np.sqrt(gv[u])
+            if len(i):  # else none of these documents has a feature that carries weight
+                by = np.argsort(i, kind="stable")
+                si = i[by]
+                first = np.flatnonzero(np.concatenate([[True], si[1:] != si[:-1]]))
+                u = si[first]
+                gx = (g[of] * x)[by]
+                dw = np.add.reduceat(gx, first) / len(docs) + p.l2 * w[u]
+                dv = np.add.reduceat(gx[:, None] * (total[of] - xv)[by], first, axis=0) / len(docs) + p.l2 * v[u]
+                gw[u] += dw**2
+                gv[u] += dv**2
+                w[u] -= step * dw / np.sqrt(gw[u])
+                v[u] -= step * dv / np.sqrt(gv[u])
             db = g.mean()
             gb += db**2
             bias -= step * db / np.sqrt(gb)

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -67,3 +68,18 @@ def test_odd_rows(make, odd_rows, spark):
     empty = docs.limit(0)
     assert L.identify(empty, L.train(empty)).count() == 0
     assert {r.lang_id for r in L.identify(docs, {}).collect()} == {None}
+
+
+def test_long_texts_are_coded_by_blocks(monkeypatch):
+    sample = {"a": ["abracadabra abra", "cad"], "b": ["bbbb cccc bcbc", "é zz"]}
+    coder = L.Coder({n: L.Trees(t, 3) for n, t in sample.items()}, 3)
+    data = np.frombuffer(("abra cad bcz é xyz abracadabra " * 9).encode(), np.uint8)
+    want = coder.code_lengths(data, np.array([0, len(data)]))
+    for block in (3, 7, 64):
+        monkeypatch.setattr(textvec, "BLOCK_BYTES", block)
+        assert coder.code_lengths(data, np.array([0, len(data)])) == pytest.approx(want, rel=1e-6)
+
+
+def test_the_sample_has_one_text_an_id(make):
+    rows = [(1, f"text number {k} of one id", "en", "a") for k in range(300)] + [(2, "another", "en", "a")]
+    assert {k: len(v) for k, v in L.train(make(rows)).items()} == {"en": 2}

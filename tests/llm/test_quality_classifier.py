@@ -57,3 +57,10 @@ def test_odd_rows(make, odd_rows, spark):
     assert Q.classify(docs, labels.limit(0)).filter("keep").count() == len(odd_rows)
     assert Q.classify(docs, labels.filter("quality = 1")).filter("keep").count() == len(odd_rows)
     assert Q.classify(make([]), labels).count() == 0
+
+
+def test_the_sample_has_one_row_an_id(make, spark):
+    rows = [(1, f"text number {k} of one id", "en", "a") for k in range(300)] + [(2, None, None, "a"), (2, None, "en", None)]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    out = Q.labelled(make(rows, extra=True), labels, Q.QualityParams()).collect()
+    assert sorted((r.doc_id, r["__pl_y"]) for r in out) == [(1, 1), (2, 0)]
