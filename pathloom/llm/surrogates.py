@@ -1,35 +1,43 @@
 """PII replacement by keyed, type-consistent surrogates.
 
-Entities are e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers, and
-personal names (after a title, or a known given name before a capitalised word). The surrogate of
-an entity is a keyed permutation of its canonical form: a step along one cycle through exactly the
-forms of the same type and format, ordered by a Feistel network that is walked until it ends inside
-them. A cycle has no fixed points, so no entity stands for itself. One entity has one surrogate
-wherever it stands, in any document and on any executor, and two never share one, without a table
-of entities. What is kept, by type:
+Entities are e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, bank account numbers (IBAN),
+payment card numbers, and personal names (after a title, a known given name before a capitalised word,
+or, in Han script, before an honorific). Further mentions of a found name's words, alone and capitalised,
+are replaced in the same document. The surrogate of an entity is a keyed permutation of its canonical form:
+a step along one cycle through exactly the forms of the same type and format, ordered by a Feistel network
+that is walked until it ends inside them. A cycle has no fixed points, so no entity stands for itself. One
+entity has one surrogate wherever it stands, in any document and on any executor, and two never share one,
+without a table of entities. What is kept, by type:
 
     email    lengths of the parts, letters, digits and marks in their places, the top-level domain
-    phone    country code, length, punctuation; a first digit of 2 or more stays so
+    phone    country code (by the table of codes, however it is spaced), length, punctuation; a first
+             digit of 2 or more stays so
     ipv4     private, local, public or other
+    ipv6     the first group, where zeros are left out, letters and digits
+    iban     country, letters and digits in their places; its check digits are those of the new number
     card     length, grouping, first digit, and whether the Luhn check digit is right
     name     title, gender, script, capitals; known given names become others of their gender and
-             script, other words get letters of their script, vowels for vowels
+             script wherever they stand, other words get letters of their script, vowels for vowels,
+             accented letters for accented ones, and never become a known given name
 
-Case and punctuation follow the original (EVA for EVA), but don't tell entities apart. A form without
-a letter or digit that can be moved (an e-mail address in Cyrillic, a name of one accented letter)
-stays. As a guard, in every document the surrogates are held against each other; if two entities came
-to one, the later by order would be permuted again.
+Case and punctuation follow the original (EVA for EVA), but don't tell entities apart. A form in which
+nothing can be moved gets a keyed code of ten hexadecimal digits. As a guard, in every document the
+surrogates are held against each other; if two entities came to one, the later by order would be permuted
+again.
 
 Defined results: null and empty texts stay as they are and have no entities. Rows with a null or
 repeated doc_id are replaced like others, equal rows equally. n_chars, where there is one, is the
 new length. An empty table gives an empty result. Entities that overlap: the one that begins first
-counts, the longer of two that begin together.
+counts, the longer of two that begin together. A very long text is read whole. A column named pii is
+replaced by the result's.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
+import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -56,25 +64,54 @@ TITLES = {
     "n": "Dr Prof Professor Doctor Доктор".split(),
 }
 VOWELS = {"latin": ("aeiouy", "bcdfghjklmnpqrstvwxz"), "cyrillic": ("аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"), "greek": ("αεηιουω", "βγδζθκλμνξπρστφχψ")}
-CAPITAL = r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ]"
+#: Letters beyond those, as sets whose members stand for each other; each has a capital of one character, or no case.
+MORE = {
+    "latin": ("àáâãäåæèéêëìíîïòóôõöøùúûüýÿœ", "çñðþ", "āăąēėęěīįōőūůűųǎǐǒǔ", "ćčďđğģķĺľłńņňŕřśşșšţťțźżž"),
+    "cyrillic": ("ёіїєў", "йґђћџљњјқңғһ", "ъь"),
+    "greek": ("άέήίόύώϊϋ",),
+}
+
+
+def letters(first: int, last: int) -> str:
+    return "".join(chr(c) for c in range(first, last + 1) if unicodedata.category(chr(c)) == "Lo")
+
+
+SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严武戴莫孔向汤"
+GIVEN_HAN = "伟芳娜秀英敏静丽强磊军洋勇艳杰娟涛明超兰霞平刚桂文辉红玉建国华志海波宁晨雪梅琳佳欣怡婷"
+HAN = ["".join(dict.fromkeys(SURNAMES)), "".join(c for c in dict.fromkeys(GIVEN_HAN) if c not in SURNAMES)]
+#: Scripts without case, for addresses and names: Hebrew, Arabic, Devanagari, Thai, kana, Hangul, Han.
+CASELESS = [letters(*x) for x in ((0x5D0, 0x5EA), (0x620, 0x64A), (0x904, 0x939), (0xE01, 0xE2E), (0x3041, 0x3096), (0x30A1, 0x30FA), (0xAC00, 0xD7A3))]
+CASELESS += [*HAN, "".join(c for c in letters(0x4E00, 0x9FFF) if c not in "".join(HAN))]
+LETTERS = {k: [*VOWELS[k], *MORE[k]] for k in VOWELS}
+HONORIFICS = "先生|女士|小姐|太太"
+CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+CAPITAL = "[" + "".join(c for c in map(chr, (*range(0x41, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000))) if unicodedata.category(c) == "Lu") + "]"
+WORD = rf"{CAPITAL}[^\W\d_]*(?:['’-][^\W\d_]+)?"
 ENTITY = re.compile(
     rf"""
     (?P<email>(?<![\w.+-])[^\W_][\w.+-]*+@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{{2,}})
-  | (?=[\d+(])(?:(?P<phone>(?<!\w)\+\d{{1,3}}[^\w\n]{{1,6}}\d{{2,4}}[^\w\n]{{1,6}}\d{{3}}[ .-]\d{{2,4}}(?:[ .-]?\d{{2}})?(?!\d)|(?<![\w.])\(\d{{3}}\)[ .-]?\d{{3}}[.-]\d{{4}}(?!\d)|(?<![\w.+-])\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?![\w-])|(?<!\w)\+\d{{8,15}}(?!\d))
+  | (?=[\d+(])(?:(?P<phone>(?<!\w)\+\d{{1,3}}[^\w\n]{{1,6}}(?:\(0\)[ ]?)?\d{{2,4}}[^\w\n]{{1,6}}\d{{3,4}}[ .-]\d{{2,4}}(?:[ .-]?\d{{2}})?(?!\d)|(?<![\w.])\(\d{{3}}\)[ .-]?\d{{3}}[.-]\d{{4}}(?!\d)|(?<![\w.+-])\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?![\w-])|(?<!\w)\+\d{{8,15}}(?!\d))
   | (?P<ipv4>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))
   | (?P<card>(?<![\w.-])(?:\d[ -]?){{12,18}}\d(?![\w-])))
-  | (?={CAPITAL})(?<!\w)(?:(?P<title>\b(?:{"|".join(t for v in TITLES.values() for t in v)})\b\.?)[ ](?P<named>{CAPITAL}[^\W\d_]*(?:['’-][^\W\d_]+)?(?:[ ]{CAPITAL}[^\W\d_]+)?)
+  | (?=[0-9A-Fa-f:])(?P<ipv6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|(?=[0-9A-Fa-f:]*::)(?=[0-9A-Fa-f:]*[0-9][0-9A-Fa-f:]*)(?:[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{1,5}})::(?:[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,4}})?)(?![\w:]))
+  | (?=[A-Z]{{2}}\d\d)(?P<iban>(?<!\w)[A-Z]{{2}}\d\d(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?!\w))
+  | (?={CAPITAL})(?<!\w)(?:(?P<title>\b(?:{"|".join(t for v in TITLES.values() for t in v)})\b\.?)[ ](?P<named>{WORD}(?:[ ]{CAPITAL}[^\W\d_]+)?)
   | (?P<person>\b(?:{"|".join(sorted({n for v in GIVEN.values() for n in v}, key=len, reverse=True))})[ ]{CAPITAL}[^\W\d_]+))
+  | (?P<han>[{SURNAMES}][\u4e00-\u9fff]{{0,2}}?(?={HONORIFICS}))
     """,
     re.VERBOSE,
 )
 #: Texts without any of these have no entity. Arrow's \b knows ASCII only, so names stand without bounds.
-HINT = r"@|\d|(?:" + "|".join(sorted({x for v in TITLES.values() for x in v} | {n for v in GIVEN.values() for n in v})) + ")[. ]"
+HINT = rf"@|\d|{HONORIFICS}|(?:" + "|".join(sorted({x for v in TITLES.values() for x in v} | {n for v in GIVEN.values() for n in v})) + ")[. ]"
+
+
+#: Another in every process: without a key of one's own, surrogates are the same within one run only.
+RUN_KEY = secrets.token_bytes(32)
 
 
 @dataclass(frozen=True)
 class PiiParams:
-    key: bytes = b"pathloom-default-key: replace in production"
+    key: bytes = RUN_KEY
 
 
 def feistel(n: int, half: int, size: int, key: bytes, label: str, back: bool = False) -> int:
@@ -147,29 +184,48 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def script_of(word: str) -> str:
+def mod97(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def script_of(word: str) -> str | None:
     low = word.lower()
-    return next((s for s, sets in VOWELS.items() if any(c in sets[0] + sets[1] for c in low)), "latin")
+    return next((s for s, sets in LETTERS.items() if any(c in x for c in low for x in sets)), None)
+
+
+def coded(kind: str, canonical: str, key: bytes) -> str:
+    """For forms in which nothing can be moved."""
+    return hashlib.blake2b(f"{kind}|{canonical}".encode(), key=key[:64], digest_size=5).hexdigest()
 
 
 @lru_cache(maxsize=200_000)
 def surrogate(kind: str, canonical: str, key: bytes, tweak: int = 0) -> str:
     """The canonical form that stands for another; a bijection on the forms of a kind and format."""
+    new = moved(kind, canonical, key, tweak)
+    return coded(kind, canonical, key) if new == canonical else new
+
+
+def moved(kind: str, canonical: str, key: bytes, tweak: int) -> str:
     label = f"{kind}|{tweak}"
     digits, small = "0123456789", "abcdefghijklmnopqrstuvwxyz"
     if kind == "email":
         local, _, domain = canonical.partition("@")
         name, _, top = domain.rpartition(".")
-        accented = "".join(sorted({c for c in "àáâäæçèéêëìíîïñòóôöùúûüß"}))
-        return lettered(local, [small, digits, accented], key, label + "|local") + "@" + lettered(name, [small, digits, accented], key, label + "|domain") + "." + top
+        sets = [small, digits, *["".join(LETTERS[k][2:]) for k in LETTERS], *["".join(LETTERS[k][:2]) for k in ("cyrillic", "greek")], *CASELESS]
+        return lettered(local, sets, key, label + "|local") + "@" + lettered(name, sets, key, label + "|domain") + "." + top
     if kind == "phone":
         country, _, number = canonical.partition("|")
-        moved = walked(number, lambda x: lettered(x, [digits], key, f"{label}|{country}"), lambda x: x[:1] >= "2")
-        return f"{country}|{moved}"
+        return f"{country}|{walked(number, lambda x: lettered(x, [digits], key, f'{label}|{country}'), lambda x: x[:1] >= '2')}"
     if kind == "ipv4":
         n = sum(int(o) << 8 * (3 - k) for k, o in enumerate(canonical.split(".")))
         n = int(walked(str(n), lambda x: str(stepped(int(x), 1 << 32, key, label)), network))
         return ".".join(str(n >> 8 * (3 - k) & 255) for k in range(4))
+    if kind == "ipv6":
+        first, _, rest = canonical.partition(":")
+        return first + ":" + lettered(rest, ["abcdef", "123456789"], key, f"{label}|{first}")
+    if kind == "iban":
+        body = canonical[:2] + "00" + lettered(canonical[4:], [small.upper(), digits], key, label + canonical[:2])
+        return body[:2] + f"{98 - mod97(body):02d}" + body[4:]
     if kind == "card":
         if luhn(canonical):
             body = canonical[0] + lettered(canonical[1:-1], [digits], key, label + canonical[0])
@@ -180,7 +236,10 @@ def surrogate(kind: str, canonical: str, key: bytes, tweak: int = 0) -> str:
         pool = [n.lower() for n in GIVEN[gender, script]]
         return pool[stepped(pool.index(canonical), len(pool), key, label)]
     script = script_of(canonical)
-    return lettered(canonical, list(VOWELS[script]), key, f"{label}|{script}")
+    sets = LETTERS[script] if script else CASELESS
+    if canonical in GENDER:  # not reached for words of a text: these are given names, wherever they stand
+        return lettered(canonical, sets, key, f"{label}|{script}")
+    return walked(canonical, lambda x: lettered(x, sets, key, f"{label}|{script}"), lambda x: x in GENDER)
 
 
 GENDER = {n.lower(): k for k, v in GIVEN.items() for n in v}
@@ -197,22 +256,24 @@ def cased(new: str, old: str) -> str:
 
 
 def refilled(form: str, digits: str) -> str:
-    """form with its digits replaced in order."""
+    """form with its letters and digits replaced in order, but for a trunk zero in brackets."""
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in form)
+    return "".join(x if x == "(0)" else "".join(next(it) if c.isalnum() else c for c in x) for x in re.split(r"(\(0\))", form))
 
 
 def canonical_of(kind: str, raw: str) -> str:
     if kind == "email":
         return raw.lower()
-    digits = re.sub(r"\D", "", raw)
     if kind == "phone":
-        code = re.match(r"\+(\d{1,3})(?=\D)", raw)
-        if code:
-            return f"{code[1]}|{digits[len(code[1]):]}"
-        return f"|{digits}" if raw.startswith("+") else f"1|{digits}"
+        digits = re.sub(r"\D", "", raw.replace("(0)", ""))
+        if not raw.startswith("+"):
+            return f"1|{digits}"
+        code = next((digits[:n] for n in (1, 2) if digits[:n] in CODES), digits[:3])
+        return f"{code}|{digits[len(code):]}"
     if kind == "card":
-        return digits
+        return re.sub(r"\D", "", raw)
+    if kind == "iban":
+        return raw.replace(" ", "")
     return ".".join(str(int(o)) for o in raw.split(".")) if kind == "ipv4" else raw.lower()
 
 
@@ -236,42 +297,68 @@ class Replacer:
         return self.of[kind, canonical]
 
 
-def name_kinds(words: list[str]) -> list[str]:
-    """The first word is a given name where it is known; others are names of no gender."""
-    known = GENDER.get(words[0].lower())
-    first = f"given|{known[0]}|{known[1]}" if known else "name"
-    return [first, *["name"] * (len(words) - 1)]
+def name_kind(word: str) -> str:
+    """A known given name is one wherever it stands; others are names of no gender."""
+    known = GENDER.get(word.lower())
+    return f"given|{known[0]}|{known[1]}" if known else "name"
 
 
-def replaced(text: str, key: bytes) -> tuple[str, list[dict]]:
+def entities(text: str) -> list[tuple[str, str, int, int]]:
+    """(kind, as written, start, end) in order."""
     found = []
     for m in ENTITY.finditer(text):
         kind = m.lastgroup if m.lastgroup != "named" else "title"
-        if kind == "title":
-            start = m.start("named")
-            for word, k in zip(m["named"].split(" "), name_kinds(m["named"].split(" "))):
-                found.append((k, word, start, start + len(word)))
-                start += len(word) + 1
-        elif kind == "person":
-            start = m.start()
-            for word, k in zip(m["person"].split(" "), name_kinds(m["person"].split(" "))):
-                found.append((k, word, start, start + len(word)))
+        if kind in ("title", "person"):
+            group = "named" if kind == "title" else kind
+            start = m.start(group)
+            for word in m[group].split(" "):
+                found.append((name_kind(word), word, start, start + len(word)))
                 start += len(word) + 1
+        elif kind == "iban" and (mod97(m[0].replace(" ", "")) != 1):
+            continue
+        elif kind == "han":
+            found.append(("name", m[0], m.start(), m.end()))
         else:
             found.append((kind, m[0], m.start(), m.end()))
+    return found
+
+
+def mentions(text: str, found: list[tuple[str, str, int, int]]) -> list[tuple[str, str, int, int]]:
+    """Where the words of found names stand alone: as written, with a capital, or in capitals."""
+    names = {raw for kind, raw, *_ in found if (kind == "name" or kind.startswith("given")) and len(raw) > 1}
+    if not names:
+        return []
+    forms = {f for n in names for f in (n, n.upper(), "-".join(x.capitalize() for x in n.split("-"))) if f[:1].isupper() or not f.isascii() and f.lower() == f.upper()}
+    plain, han = ([f for f in sorted(forms, key=lambda f: (-len(f), f)) if (f.lower() == f.upper()) == x] for x in (False, True))
+    parts = ([rf"(?<!\w)(?:{'|'.join(map(re.escape, plain))})(?!\w)"] if plain else []) + ([f"(?:{'|'.join(map(re.escape, han))})"] if han else [])
+    taken, k, out = found, 0, []
+    for m in re.finditer("|".join(parts), text):
+        while k < len(taken) and taken[k][3] <= m.start():
+            k += 1
+        if k == len(taken) or taken[k][2] >= m.end():
+            out.append((name_kind(m[0]), m[0], m.start(), m.end()))
+    return out
+
+
+def replaced(text: str, key: bytes) -> tuple[str, list[dict]]:
+    found = entities(text)
     if not found:
         return text, []
+    found = sorted([*found, *mentions(text, found)], key=lambda f: f[2])
     originals = {(k, canonical_of(k, raw)) for k, raw, *_ in found}
     box, out, at, listed = Replacer(key), [], 0, []
     # in sorted order, so that the check doesn't depend on where they stand
     for k, c in sorted(originals):
         box.get(k, c)
     for kind, raw, start, end in found:
-        new = box.of[kind, canonical_of(kind, raw)]
-        if kind == "phone":
+        canonical = canonical_of(kind, raw)
+        new = box.of[kind, canonical]
+        if new == coded(kind, canonical, key):
+            pass
+        elif kind == "phone":
             country, _, number = new.partition("|")
-            new = refilled(raw, (country if raw.startswith("+") and re.match(r"\+\d{1,3}\D", raw) else "") + number)
-        elif kind == "card":
+            new = refilled(raw, (country if raw.startswith("+") else "") + number)
+        elif kind in ("card", "iban"):
             new = refilled(raw, new)
         elif kind != "ipv4":
             new = cased(new, raw)
@@ -299,5 +386,9 @@ def replace(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
+#: Known to all readers: for the registered query only, whose results are to repeat.
+QUERY_KEY = b"pathloom: the registered query"
+
+
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(common.table(spark, sf_dir, "documents"))
+    return replace(common.table(spark, sf_dir, "documents"), PiiParams(QUERY_KEY))
