@@ -41,6 +41,7 @@ from pathloom.llm import common
 
 SLOTS = 4
 SALT = 0x5A17
+WHOLE = 2**31 - 1
 SPACE = " \t\x0b\f\r"
 
 
@@ -139,14 +140,28 @@ class Cuckoo:
                     break
 
 
-def lines_of(docs: DataFrame, p: LineDedupParams, shards: int) -> DataFrame:
-    """doc_id, h (of the text), pos, shard, k1, k2 of every line that counts; repeated rows once a row."""
-    line = F.btrim("__pl_line", F.lit(SPACE))
-    return (
+def lines_of(docs: DataFrame, p: LineDedupParams, shards: int, whole: bool = False) -> DataFrame:
+    """doc_id, h (of the text), pos, shard, k1, k2 of every line that counts; repeated rows once a row.
+
+    With `whole`, a text that isn't blank counts as a line too, in the last place."""
+    line, last = F.btrim("__pl_line", F.lit(SPACE)), F.size("__pl_lines") - 1
+    parts = F.split("text", "\n", -1)
+    if whole:
+        parts = F.concat(parts, F.array("text"))
+    lines = (
         docs.filter("doc_id is not null and text is not null")
-        .select("doc_id", common.row_key().alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "__pl_line"))
-        .select("doc_id", "h", "pos", line.alias("__pl_line"))
-        .filter(F.length("__pl_line") >= p.min_chars)
+        .select("doc_id", common.row_key().alias("h"), parts.alias("__pl_lines"))
+        .select("doc_id", "h", last.alias("last"), F.posexplode("__pl_lines").alias("pos", "__pl_line"))
+    )
+    if whole:
+        at_end = F.col("pos") == F.col("last")
+        pos = F.when(at_end, F.lit(WHOLE)).otherwise(F.col("pos"))
+        line = F.when(at_end & (line != ""), F.concat(F.lit("\n"), "__pl_line")).otherwise(line)
+    else:
+        pos = F.col("pos")
+    return (
+        lines.select("doc_id", "h", pos.alias("pos"), line.alias("__pl_line"))
+        .filter((F.length("__pl_line") >= p.min_chars) | (F.col("pos") == WHOLE) & (F.length("__pl_line") > 1))
         .select("doc_id", "h", "pos", F.xxhash64("__pl_line").alias("k1"), F.xxhash64(F.lit(SALT), "__pl_line").alias("k2"))
         .withColumn("shard", F.pmod(F.col("k2"), F.lit(shards)).cast("int"))
     )
@@ -203,9 +218,9 @@ def screened(lines: DataFrame, p: LineDedupParams) -> DataFrame:
     )
 
 
-def repeats(docs: DataFrame, p: LineDedupParams) -> DataFrame:
-    """doc_id, h and the sorted line numbers that are repeats of earlier lines."""
-    lines = lines_of(docs, p, shards_for(docs, p))
+def repeats(docs: DataFrame, p: LineDedupParams, whole: bool = False) -> DataFrame:
+    """doc_id, h and the sorted line numbers that are repeats of earlier lines; WHOLE where the text is, with `whole`."""
+    lines = lines_of(docs, p, shards_for(docs, p), whole)
     exact = counted(lines).filter("n_refs > 1").select("k1", "k2", "first")
     return (
         screened(lines, p)
@@ -215,15 +230,18 @@ def repeats(docs: DataFrame, p: LineDedupParams) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, p: LineDedupParams = LineDedupParams()) -> DataFrame:
-    """docs with text as the module says, n_chars set to its length where there is one, and lines_removed."""
-    cut = repeats(docs, p).select(F.col("doc_id").alias("__pl_id"), F.col("h").alias("__pl_h"), "__pl_cut")
-    docs = common.without(docs, ["lines_removed"])
+def deduplicate(docs: DataFrame, p: LineDedupParams = LineDedupParams(), whole: bool = False) -> DataFrame:
+    """docs with text as the module says, n_chars set to its length where there is one, and lines_removed; with `whole`,
+    also whole_copy: whether an earlier document has just this text."""
+    cut = repeats(docs, p, whole).select(F.col("doc_id").alias("__pl_id"), F.col("h").alias("__pl_h"), "__pl_cut")
+    docs = common.without(docs, ["lines_removed", "whole_copy"] if whole else ["lines_removed"])
     joined = docs.withColumn("__pl_key", common.row_key()).join(cut, (F.col("doc_id") == F.col("__pl_id")) & (F.col("__pl_key") == F.col("__pl_h")), "left")
     kept = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(__pl_cut, i)), '\n')")
     text = F.when(F.col("__pl_cut").isNull(), F.col("text")).otherwise(kept)
     out = [text.alias(c) if c == "text" else joined[f"`{c}`"] for c in docs.columns]
-    result = joined.select(*out, F.coalesce(F.size("__pl_cut"), F.lit(0)).alias("lines_removed"))
+    copied = F.coalesce(F.array_contains("__pl_cut", WHOLE), F.lit(False))
+    removed = F.coalesce(F.size("__pl_cut"), F.lit(0)) - (copied.cast("int") if whole else F.lit(0))
+    result = joined.select(*out, removed.alias("lines_removed"), *[copied.alias("whole_copy")] * whole)
     return result.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else result
 
 

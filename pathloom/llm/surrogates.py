@@ -35,6 +35,7 @@ replaced by the result's.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import secrets
 import unicodedata
@@ -93,7 +94,7 @@ ENTITY = re.compile(
   | (?=[\d+(])(?:(?P<phone>(?<!\w)\+\d{{1,3}}[^\w\n]{{1,6}}(?:\(0\)[ ]?)?\d{{2,4}}[^\w\n]{{1,6}}\d{{3,4}}[ .-]\d{{2,4}}(?:[ .-]?\d{{2}})?(?!\d)|(?<![\w.])\(\d{{3}}\)[ .-]?\d{{3}}[.-]\d{{4}}(?!\d)|(?<![\w.+-])\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?![\w-])|(?<!\w)\+\d{{8,15}}(?!\d))
   | (?P<ipv4>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))
   | (?P<card>(?<![\w.-])(?:\d[ -]?){{12,18}}\d(?![\w-])))
-  | (?=[0-9A-Fa-f:])(?P<ipv6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|(?=[0-9A-Fa-f:]*::)(?=[0-9A-Fa-f:]*[0-9][0-9A-Fa-f:]*)(?:[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{1,5}})::(?:[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,4}})?)(?![\w:]))
+  | (?P<ipv6>(?<![\w:.])[0-9A-Fa-f]{{0,4}}(?::[0-9A-Fa-f]{{0,4}}){{2,7}}(?![\w:]))
   | (?=[A-Z]{{2}}\d\d)(?P<iban>(?<!\w)[A-Z]{{2}}\d\d(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?!\w))
   | (?={CAPITAL})(?<!\w)(?:(?P<title>\b(?:{"|".join(t for v in TITLES.values() for t in v)})\b\.?)[ ](?P<named>{WORD}(?:[ ]{CAPITAL}[^\W\d_]+)?)
   | (?P<person>\b(?:{"|".join(sorted({n for v in GIVEN.values() for n in v}, key=len, reverse=True))})[ ]{CAPITAL}[^\W\d_]+))
@@ -188,6 +189,15 @@ def mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def address(text: str) -> bool:
+    """An IPv6 address that names three groups at least, one with a digit: not a time, nor names joined by colons."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return sum(map(bool, text.split(":"))) >= 3 and any(c.isdigit() for c in text)
+
+
 def script_of(word: str) -> str | None:
     low = word.lower()
     return next((s for s, sets in LETTERS.items() if any(c in x for c in low for x in sets)), None)
@@ -314,7 +324,7 @@ def entities(text: str) -> list[tuple[str, str, int, int]]:
             for word in m[group].split(" "):
                 found.append((name_kind(word), word, start, start + len(word)))
                 start += len(word) + 1
-        elif kind == "iban" and (mod97(m[0].replace(" ", "")) != 1):
+        elif kind == "iban" and mod97(m[0].replace(" ", "")) != 1 or kind == "ipv6" and not address(m[0]):
             continue
         elif kind == "han":
             found.append(("name", m[0], m.start(), m.end()))

@@ -128,3 +128,11 @@ def test_filters_grow_with_their_shards(make, spark):
     assert sum(r.n_keys for r in store.filters.collect()) == store.refs.count() == 2400
     keys = {s: np.array([r.k1 for r in store.refs.filter(f"shard = {s}").collect()], np.int64).view(np.uint64) for s in (0, 1)}
     assert all(D.Cuckoo(slots=np.frombuffer(r.slots, np.uint16).reshape(-1, D.SLOTS)).contains(keys[r.shard]).all() for r in store.filters.collect())
+
+
+def test_whole_copies_are_told(make, odd_rows):
+    rows = [(1, "a first long line\nshort", "en", "a"), (2, "a first long line\nshort", "en", "a"), (3, "a first long line\nsmall", "en", "a"), (4, "tiny", "en", "a"), (5, "tiny", "en", "a"), (6, " ", "en", "a"), (7, " ", "en", "a"), (8, None, "en", "a"), (5, "tiny", "en", "a")]
+    out = D.deduplicate(make(rows, extra=True), whole=True).collect()
+    assert sorted((r.doc_id, r.lines_removed, r.whole_copy) for r in out) == [(1, 0, False), (2, 1, True), (3, 1, False), (4, 0, False), (5, 0, True), (5, 0, True), (6, 0, False), (7, 0, False), (8, 0, False)]
+    plain = lambda df: sorted((str(r.doc_id), str(r.text), r.lines_removed) for r in df.collect())
+    assert plain(D.deduplicate(make(odd_rows), whole=True)) == plain(D.deduplicate(make(odd_rows)))
