@@ -60,6 +60,9 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def small_side(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
-    """df marked for broadcast while its estimated size is within limit; larger ones are joined by a shuffle."""
+def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df marked for broadcast while its estimated size is within limit; larger ones are joined by a shuffle.
+
+    Without a limit, that of the session's settings counts."""
+    limit = int(df.sparkSession.conf.get("spark.pathloom.broadcastBytes", str(64 << 20))) if limit is None else limit
     return F.broadcast(df) if estimated_bytes(df) <= limit else df

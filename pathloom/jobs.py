@@ -43,12 +43,16 @@ def analytics(events: DataFrame, tables: Collections, cutoff: str, settings: Fea
         ready.unpersist()
 
 
-def recommender(events: DataFrame, tables: Collections, co: CooccurrenceSettings = CooccurrenceSettings(), rank: RankSettings = RankSettings(), model_path: str | None = None) -> L.Propensity:
-    """Candidates, the purchase model, and the ranked lists by product, replaced by key."""
+def recommender(events: DataFrame, tables: Collections, co: CooccurrenceSettings = CooccurrenceSettings(), rank: RankSettings = RankSettings(), model_path: str | None = None, key: list[str] | None = None, sample: int | None = None) -> L.Propensity:
+    """Candidates, the purchase model, and the ranked lists by product, replaced by key.
+
+    The model's test rows are told by `key` (by default the columns that name an event). `sample` bounds the model's rows."""
+    key = key or [c for c in ("event_id", "user_id", "user_session", "product_id", "event_timestamp", "event_type") if c in events.columns]
     used = E.interactions(events, co)
     tables.write(R.candidates(used, co), "candidates", "overwrite")
     tables.write(R.product_features(used), "product_features", "overwrite")
-    model = L.train_propensity(E.model_rows(events), rank.top_values)
+    rows = E.model_rows(events, key)
+    model = L.train_propensity(E.sample_rows(rows, sample, key="row_key") if sample else rows, rank.top_values)
     if model_path:
         model.save(model_path)
     spark: SparkSession = events.sparkSession

@@ -102,7 +102,10 @@ class SessionSettings:
     shuffle_partitions: int | None = None
     time_zone: str = "UTC"
     trigger: str = "10 seconds"
+    #: Dimensions of at most so many estimated bytes are broadcast; the session carries the setting.
     broadcast_bytes: int = 64 << 20
+    #: Where Collections of a session are, unless they are told otherwise.
+    tables_root: str | None = None
     extra: tuple[tuple[str, str], ...] = ()
 
 

@@ -34,7 +34,7 @@ def stamp_processing(df: DataFrame) -> DataFrame:
     return df.withColumn("processing_time", F.current_timestamp())
 
 
-def with_products(events: DataFrame, products: DataFrame | None, limit: int = 64 << 20) -> DataFrame:
+def with_products(events: DataFrame, products: DataFrame | None, limit: int | None = None) -> DataFrame:
     """Left join on product_id; where both sides have a column, the event's stays."""
     if products is None:
         return events
@@ -43,7 +43,7 @@ def with_products(events: DataFrame, products: DataFrame | None, limit: int = 64
     return events.join(X.small_side(slim, limit), "product_id", "left")
 
 
-def with_users(events: DataFrame, users: DataFrame | None, limit: int = 64 << 20) -> DataFrame:
+def with_users(events: DataFrame, users: DataFrame | None, limit: int | None = None) -> DataFrame:
     """Left join on user_id; unchanged where there is no user table."""
     if users is None:
         return events
@@ -96,9 +96,10 @@ def interactions(events: DataFrame, s: CooccurrenceSettings = CooccurrenceSettin
     return out.filter(complete).filter("event_type in ('view', 'purchase')").withColumn("weight", weight)
 
 
-def model_rows(events: DataFrame) -> DataFrame:
-    """brand, category_code, price and the label is_purchase, complete rows only."""
+def model_rows(events: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """brand, category_code, price and the label is_purchase, complete rows only; with key columns also row_key, their hash."""
     rows = events.select(
+        *([F.xxhash64(*key).alias("row_key")] if key else []),
         X.text("brand"),
         X.text("category_code"),
         F.expr("try_cast(price AS double)").alias("price"),
@@ -108,5 +109,6 @@ def model_rows(events: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, rows: int, seed: int = 42, key: str | None = None) -> DataFrame:
-    """At most `rows` rows; with a key always the same ones, those with the smallest hashes."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(rows) if key else df.limit(rows)
+    """At most `rows` rows; with a key always the same ones, those with the smallest hashes. The limit holds in each task
+    before rows are moved."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), key)), key).limit(rows) if key else df.limit(rows)

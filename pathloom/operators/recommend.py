@@ -49,10 +49,13 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(sides).alias("s"), "related_score").select("s.product_id", "s.cand_product_id", "related_score")
 
 
-def candidates(interactions: DataFrame, s: CooccurrenceSettings = CooccurrenceSettings()) -> DataFrame:
-    """product_id, cand_product_id, related_score: the best per_item partners of each product."""
+def candidates(interactions: DataFrame, s: CooccurrenceSettings = CooccurrenceSettings(), wanted: DataFrame | None = None) -> DataFrame:
+    """product_id, cand_product_id, related_score: the best per_item partners of each product, or of the wanted ones only."""
     items = bounded_sessions(item_weights(latest_per_session(interactions, s)), s)
-    return top_per_group(both_ways(pair_scores(items)), ["product_id"], [F.desc("related_score"), F.asc("cand_product_id")], s.per_item)
+    pairs = both_ways(pair_scores(items))
+    if wanted is not None:
+        pairs = pairs.join(X.small_side(wanted.select("product_id").distinct()), "product_id", "left_semi")
+    return top_per_group(pairs, ["product_id"], [F.desc("related_score"), F.asc("cand_product_id")], s.per_item)
 
 
 def product_features(interactions: DataFrame) -> DataFrame:

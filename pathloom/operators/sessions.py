@@ -44,12 +44,10 @@ def session_metrics(events: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
-def behaviour_metrics(events: DataFrame, exact: bool = True, minute: float = 60.0, stamp: bool = False) -> DataFrame:
-    """Per session, with revenue of purchases only (null without any); a session of no length lasts 0.1.
-
-    `minute` is the seconds in a unit of duration."""
+def behaviour_columns(exact: bool = True) -> list[Column]:
+    """The aggregates of a session's behaviour, for batches and streams."""
     bought = F.when(X.is_type("purchase"), F.col("price"))
-    out = events.groupBy(*KEY).agg(
+    return [
         F.min("event_timestamp").alias("session_start"),
         F.max("event_timestamp").alias("session_end"),
         F.count(F.lit(1)).alias("total_events"),
@@ -60,7 +58,14 @@ def behaviour_metrics(events: DataFrame, exact: bool = True, minute: float = 60.
         F.sum(bought).alias("total_amount"),
         F.avg(bought).alias("avg_purchase_price"),
         F.avg("price").alias("avg_product_price_viewed"),
-    )
+    ]
+
+
+def behaviour_metrics(events: DataFrame, exact: bool = True, minute: float = 60.0, stamp: bool = False) -> DataFrame:
+    """Per session, with revenue of purchases only (null without any); a session of no length lasts 0.1.
+
+    `minute` is the seconds in a unit of duration."""
+    out = events.groupBy(*KEY).agg(*behaviour_columns(exact))
     length = X.minutes_between("session_start", "session_end") * (60.0 / minute)
     out = out.withColumn("session_duration_minutes", F.when(length == 0, 0.1).otherwise(length))
     return out.withColumn("processing_time", F.current_timestamp()) if stamp else out

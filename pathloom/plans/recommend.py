@@ -30,9 +30,13 @@ def interactions(spark, d):
     return D.baskets(spark, d).withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz"))
 
 
-@query("w1_latest_per_session", f"WITH {LATEST} SELECT user_session, product_id, event_type, weight FROM l")
+#: Bounds that bite on the test tables, whose sessions are small.
+FEW = R.CooccurrenceSettings(events_per_session=3, items_per_session=2)
+
+
+@query("w1_latest_per_session", f"WITH {LATEST.replace('<= 25', '<= 3')} SELECT user_session, product_id, event_type, weight FROM l")
 def latest(spark, d):
-    return R.latest_per_session(D.baskets(spark, d)).select("user_session", "product_id", "event_type", "weight")
+    return R.latest_per_session(D.baskets(spark, d), FEW).select("user_session", "product_id", "event_type", "weight")
 
 
 @query("a17_item_weights", f"WITH {LATEST}, w AS (SELECT user_session, product_id, max(weight) AS w_item FROM l GROUP BY ALL) SELECT * FROM w")
@@ -40,7 +44,11 @@ def item_weights(spark, d):
     return R.item_weights(R.latest_per_session(D.baskets(spark, d)))
 
 
-@query("j3_bounded_sessions", f"WITH {ITEMS} SELECT * FROM n")
+@query("j3_bounded_sessions", f"WITH {ITEMS.replace('<= 60', '<= 2')} SELECT * FROM n")
+def bounded(spark, d):
+    return R.bounded_sessions(item_weights(spark, d), FEW)
+
+
 def bounded_sessions(spark, d):
     return R.bounded_sessions(item_weights(spark, d))
 
@@ -89,8 +97,10 @@ def candidate_features(spark, d):
     return R.candidate_features(candidates(spark, d), features(spark, d))
 
 
-def scored(spark, d):
-    return R.final_scores(candidate_features(spark, d).withColumn("p_buy", 1 / (1 + F.col("price") / 1000)))
+def scored(spark, d, wanted=None):
+    """All products, or the wanted ones only, which are picked before anything is ranked."""
+    cands = R.candidates(D.baskets(spark, d), wanted=wanted)
+    return R.final_scores(R.candidate_features(cands, features(spark, d)).withColumn("p_buy", 1 / (1 + F.col("price") / 1000)))
 
 
 @query("m13_final_scores", f"WITH {SCORED} SELECT product_id, cand_product_id, round(score + 1e-9, 6) AS score FROM s")
@@ -139,11 +149,13 @@ def heuristic(spark, d):
     st AS (SELECT product_id, cand_product_id AS id, 0 AS tier, round(score, 2) AS confidence, row_number() OVER (PARTITION BY product_id ORDER BY score DESC, cand_product_id DESC) AS r FROM t WHERE product_id IN (SELECT product_id FROM q) QUALIFY r <= 5),
     al AS (SELECT product_id, id, tier, confidence, r FROM st UNION ALL SELECT product_id, id, tier, confidence, position FROM best),
     o2 AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY product_id, id ORDER BY tier, r) = 1)
-    SELECT product_id, id AS rec_product_id, confidence, tier, CAST(row_number() OVER (PARTITION BY product_id ORDER BY tier, r, id) AS INTEGER) AS position FROM o2 QUALIFY position <= 5""",
+    SELECT product_id, o2.id AS rec_product_id, product_name, category_name, brand, price, confidence, tier, CAST(row_number() OVER (PARTITION BY product_id ORDER BY tier, r, o2.id) AS INTEGER) AS position
+    FROM o2 LEFT JOIN c ON c.id = o2.id QUALIFY position <= 5""",
 )
 def recommendations(spark, d):
-    lists = R.recommendation_lists(R.top_recommendations(scored(spark, d)))
-    return R.recommendations(lists, catalog(spark, d), wanted(spark, d), 5).select("product_id", "rec_product_id", "confidence", "tier", "position")
+    asked = wanted(spark, d)
+    lists = R.recommendation_lists(R.top_recommendations(scored(spark, d, asked)))
+    return R.recommendations(lists, catalog(spark, d), asked, 5).select("product_id", "rec_product_id", "product_name", "category_name", "brand", "price", "confidence", "tier", "position")
 
 
 @query("q12_random_products")
@@ -157,9 +169,11 @@ def first_seen(spark, d):
     return R.first_seen(lines, "product_id", ["l_shipdate", "l_orderkey", "l_linenumber"]).select("product_id", "price")
 
 
-@query("u5_new_items_only", f"WITH {FEATURES} SELECT CAST(p_partkey AS VARCHAR) AS product_id FROM part WHERE CAST(p_partkey AS VARCHAR) NOT IN (SELECT product_id FROM k)")
+@query("u5_new_items_only", f"WITH {CANDS.replace('l_shipdate IS NOT NULL)', 'l_shipdate IS NOT NULL AND l_orderkey % 40 = 0)')} SELECT CAST(p_partkey AS VARCHAR) AS product_id FROM part WHERE CAST(p_partkey AS VARCHAR) NOT IN (SELECT product_id FROM k)")
 def new_items(spark, d):
-    return catalog(spark, d).select(R.X.text("product_id")).join(candidates(spark, d).select("product_id").distinct(), "product_id", "left_anti")
+    """Of the sessions every fortieth, so that some products have no candidates."""
+    some = R.candidates(D.baskets(spark, d).filter("CAST(user_session AS BIGINT) % 40 = 0"))
+    return catalog(spark, d).select(R.X.text("product_id")).join(some.select("product_id").distinct(), "product_id", "left_anti")
 
 
 @query(
@@ -185,8 +199,24 @@ def generated_sessions(spark, d):
     return G.sessions(spark)
 
 
-@query("s15_category_hierarchy", "SELECT * FROM (VALUES " + ", ".join(
-    f"({n}, '{a}', {p}, {lv}, '{t}')" for (num, name, text), below in G.HIERARCHY.items() for n, a, p, lv, t in [(num, name, "NULL", 1, text), *[(100 * num + k, c, f"'{name}'", 2, w) for k, (c, w) in enumerate(below, 1)]]
-) + ") AS t(category_id, category_name, parent_category, level, description)")
+HIERARCHY = """SELECT * FROM (VALUES
+  (1, 'Electronics', NULL, 1, 'devices and what belongs to them'),
+  (101, 'Smartphones', 'Electronics', 2, 'telephones'),
+  (102, 'Laptops', 'Electronics', 2, 'portable computers'),
+  (103, 'Audio', 'Electronics', 2, 'sound'),
+  (2, 'Clothing', NULL, 1, 'things to wear'),
+  (201, 'Men', 'Clothing', 2, 'for men'),
+  (202, 'Women', 'Clothing', 2, 'for women'),
+  (203, 'Kids', 'Clothing', 2, 'for children'),
+  (3, 'Home', NULL, 1, 'for the house'),
+  (301, 'Furniture', 'Home', 2, 'tables, beds and chairs'),
+  (302, 'Kitchen', 'Home', 2, 'for cooking'),
+  (4, 'Sports', NULL, 1, 'for exercise'),
+  (401, 'Fitness', 'Sports', 2, 'for training'),
+  (402, 'Outdoor', 'Sports', 2, 'for the open air')
+) AS t(category_id, category_name, parent_category, level, description)"""
+
+
+@query("s15_category_hierarchy", HIERARCHY)
 def category_hierarchy(spark, d):
     return G.category_hierarchy(spark)

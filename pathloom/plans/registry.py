@@ -33,7 +33,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
-    from pathloom.plans import events, learning, recommend, serving  # noqa: F401
+    from pathloom.plans import events, learning, recommend, serving, streaming  # noqa: F401
 
     return dict(QUERIES)
 

@@ -13,6 +13,10 @@ from pathloom.operators import serving as Q
 from pathloom.sources.readers import Collections
 
 
+#: The most rows of a page and the most recommendations that one request can ask for.
+MOST_ROWS, MOST_RECOMMENDATIONS = 200, 50
+
+
 class BadRequest(Exception):
     pass
 
@@ -26,6 +30,16 @@ def rows(df: DataFrame) -> list[dict]:
     return [json.loads(x) for x in df.toJSON().collect()]
 
 
+def number(query: dict, name: str, default: int, least: int, most: int) -> int:
+    try:
+        n = int(query.get(name, default))
+    except ValueError:
+        raise BadRequest(f"{name} is a number") from None
+    if not least <= n <= most:
+        raise BadRequest(f"{name} is from {least} to {most}")
+    return n
+
+
 class App:
     """Routes to queries. Each answers with `success`, or with an error and status 400, 404 or 500."""
 
@@ -76,12 +90,7 @@ class App:
         return {"product": found[0]}
 
     def products(self, path, query):
-        try:
-            skip, limit = int(query.get("skip", 0)), int(query.get("limit", 20))
-        except ValueError:
-            raise BadRequest("skip and limit are numbers") from None
-        if skip < 0 or limit < 0:
-            raise BadRequest("skip and limit aren't negative")
+        skip, limit = number(query, "skip", 0, 0, 1 << 31), number(query, "limit", 20, 0, MOST_ROWS)
         catalog = self.table("product_catalog")
         page = rows(Q.product_page(catalog, skip, limit))
         for p in page:
@@ -93,7 +102,7 @@ class App:
         if not wanted:
             raise BadRequest("product_id is missing")
         asked = self.spark.createDataFrame([(str(wanted),)], "product_id string")
-        out = R.recommendations(self.table("recommendations"), self.table("product_catalog"), asked, int(query.get("top_n", 5)))
+        out = R.recommendations(self.table("recommendations"), self.table("product_catalog"), asked, number(query, "top_n", 5, 1, MOST_RECOMMENDATIONS))
         return {"product_id": str(wanted), "recommendations": rows(out.orderBy("position"))}
 
     def answer(self, path: str, query: dict | None = None) -> tuple[int, dict]:

@@ -17,6 +17,9 @@ def create_session(settings: SessionSettings = SessionSettings()) -> SparkSessio
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.pathloom.broadcastBytes": str(settings.broadcast_bytes),
+        "spark.pathloom.trigger": settings.trigger,
+        **({"spark.pathloom.tables": settings.tables_root} if settings.tables_root else {}),
     } | dict(settings.extra)
     if settings.shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(settings.shuffle_partitions)
@@ -36,5 +39,6 @@ def create_streaming_session(settings: SessionSettings = SessionSettings()) -> S
 
 def settings_from_environment(prefix: str = "PATHLOOM_") -> SessionSettings:
     env = {k[len(prefix) :].lower(): v for k, v in os.environ.items() if k.startswith(prefix)}
-    known = {k: env[k] for k in ("app_name", "master", "time_zone", "trigger") if k in env}
-    return SessionSettings(**known, shuffle_partitions=int(env["shuffle_partitions"]) if "shuffle_partitions" in env else None)
+    known = {k: env[k] for k in ("app_name", "master", "time_zone", "trigger", "tables_root") if k in env}
+    numbers = {k: int(env[k]) for k in ("shuffle_partitions", "broadcast_bytes") if k in env}
+    return SessionSettings(**known, **numbers)

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.model import PRODUCT, USER
+from pathloom.model import PRODUCT, USER, schema
+
+#: What a topic's messages are read as.
+MESSAGE = schema("value string, timestamp timestamp")
 
 
 def parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -87,6 +90,14 @@ class Collections:
     format: str = "parquet"
     options: dict = field(default_factory=dict)
 
+    @classmethod
+    def of_session(cls, spark: SparkSession, root: str | None = None, format: str = "parquet", options: dict | None = None) -> Collections:
+        """The tables of a session: in `root`, or else where its setting spark.pathloom.tables says."""
+        where = root or spark.conf.get("spark.pathloom.tables", None)
+        if not where:
+            raise ValueError("name a folder or database of tables, or set spark.pathloom.tables")
+        return cls(where, format, options or {})
+
     def _place(self, name: str) -> dict:
         return self.options | ({"path": f"{self.root}/{name}"} if self.format in ("parquet", "json", "orc") else {"database": self.root, "collection": name})
 

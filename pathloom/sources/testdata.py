@@ -14,9 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the session a user's day."""
+    return as_events(table(spark, sf_dir, "events"))
+
+
+def as_events(rows: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "cart").otherwise(F.col("event_type"))
     day = F.date_format("ts", "yyyy-MM-dd")
-    return table(spark, sf_dir, "events").select(
+    return rows.select(
         "event_id",
         F.col("ts").alias("event_timestamp"),
         kind.alias("event_type"),

@@ -1,4 +1,4 @@
-"""The streaming pipeline: parse, set aside, enrich, and four outputs, with keyed upserts for what changes."""
+"""The streaming pipeline: parse, set aside, enrich, and six outputs, with keyed upserts for what changes."""
 
 from __future__ import annotations
 
@@ -18,7 +18,8 @@ from pathloom.sources import sinks
 class StreamSettings:
     checkpoints: str
     tables: str
-    trigger: str = "10 seconds"
+    #: None takes the session's setting.
+    trigger: str | None = None
     available_now: bool = False
     #: A session still open after so long without events is closed and leaves the state.
     session_idle: str = "2 hours"
@@ -28,16 +29,16 @@ class StreamSettings:
 def start(df: DataFrame, name: str, s: StreamSettings, mode: str = "append", each=None) -> StreamingQuery:
     """df to the table `name`, with its own checkpoint; each(batch, id) instead of plain files where given."""
     writer = df.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", f"{s.checkpoints}/{name}")
-    writer = writer.trigger(availableNow=True) if s.available_now else writer.trigger(processingTime=s.trigger)
+    writer = writer.trigger(availableNow=True) if s.available_now else writer.trigger(processingTime=s.trigger or df.sparkSession.conf.get("spark.pathloom.trigger", "10 seconds"))
     return (writer.foreachBatch(each) if each else writer.format("parquet").option("path", f"{s.tables}/{name}")).start()
 
 
-def upsert_to(path: str, key: list[str]):
+def upsert_to(path: str, key: list[str], last: str | None = None):
     """For foreachBatch: the same batch again leaves the same table."""
 
     def each(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            sinks.upsert(batch, path, key, stamp=None)
+            sinks.upsert(batch, path, key, stamp=None, last=last)
 
     return each
 
@@ -57,20 +58,22 @@ def keyed_sessions(events: DataFrame, s: StreamSettings) -> DataFrame:
     """Session metrics whose state ends: a session's key is kept within windows of inactivity, so late returns begin a new part."""
     watched = events.withWatermark("event_timestamp", s.window.watermark)
     gap = F.session_window("event_timestamp", s.session_idle)
-    bought = F.when(sessions.X.is_type("purchase"), F.col("price"))
-    out = watched.groupBy(gap.alias("w"), *sessions.KEY).agg(
-        F.min("event_timestamp").alias("session_start"),
-        F.max("event_timestamp").alias("session_end"),
-        F.count(F.lit(1)).alias("total_events"),
-        *[sessions.X.count_type(t).alias(f"{t}_count") for t in ("view", "cart", "purchase", "remove_from_cart")],
-        F.approx_count_distinct("product_id").alias("unique_products"),
-        F.sum("price").alias("gross_price_sum"),
-        F.sum(bought).alias("total_amount"),
-    )
+    named = F.col("category_name") if "category_name" in events.columns else F.lit(None)
+    out = watched.groupBy(gap.alias("w"), *sessions.KEY).agg(*sessions.behaviour_columns(exact=False), F.sum("price").alias("gross_price_sum"), F.approx_count_distinct(named).alias("named_categories"))
     length = (F.unix_timestamp("session_end") - F.unix_timestamp("session_start")) / 60.0
     return out.select(F.col("w.start").alias("part_start"), *out.columns[1:], F.when(length == 0, 0.1).otherwise(length).alias("session_duration_minutes"))
 
 
+def closed_sessions(parts: DataFrame) -> DataFrame:
+    """The columns of session_metrics from closed parts; a part of no length has 0 minutes here."""
+    minutes = (F.unix_timestamp("session_end") - F.unix_timestamp("session_start")) / 60.0
+    counts = [f"{t}_count" for t in ("view", "cart", "purchase")]
+    return parts.select(
+        "part_start", *sessions.KEY, "session_start", "session_end", "total_events", *counts, "gross_price_sum", "unique_products", F.col("named_categories").alias("unique_categories"),
+        minutes.alias("session_duration_minutes"), (F.col("cart_count") > 0).alias("converted_to_cart"), (F.col("purchase_count") > 0).alias("converted_to_purchase"),
+    )
+
+
 def live_sessions(events: DataFrame, exact: bool = False) -> DataFrame:
     """Session metrics over unbounded state, for complete or update output, as long as the sessions fit."""
     return sessions.session_metrics(events, exact)
@@ -80,25 +83,54 @@ def live_behaviours(events: DataFrame, exact: bool = False) -> DataFrame:
     return sessions.classify(sessions.behaviour_metrics(events, exact))
 
 
-def behaviours_each(s: StreamSettings):
-    """For foreachBatch over keyed_sessions: classified parts, and the distribution over the whole table, which a stream can't chain."""
-    store = upsert_to(f"{s.tables}/user_behaviors", ["part_start", *sessions.KEY])
+def sessions_each(s: StreamSettings):
+    """For foreachBatch over keyed_sessions: session metrics, classified parts, and the segment distribution of the windows
+    in which these begin, made again from the table, as a stream can't chain a second aggregate."""
+    key = ["part_start", *sessions.KEY]
+    metrics_to = upsert_to(f"{s.tables}/session_metrics", key, "session_end")
+    behaviours_to = upsert_to(f"{s.tables}/user_behaviors", key, "session_end")
+    distribution_to = upsert_to(f"{s.tables}/segment_distribution", ["window_start", "behavior_segment"])
 
     def each(batch: DataFrame, n: int) -> None:
-        store(sessions.classify(batch), n)
+        batch = batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            metrics_to(closed_sessions(batch), n)
+            behaviours_to(sessions.classify(batch.drop("gross_price_sum", "named_categories")), n)
+            start = F.window("session_start", s.window.duration)["start"]
+            touched = batch.select(start.alias("t")).distinct()
+            ends = touched.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+            # the bounds reach the scan; the exact windows are joined
+            table = batch.sparkSession.read.parquet(f"{s.tables}/user_behaviors").filter(F.col("session_start") >= ends.a)
+            table = table.filter(F.col("session_start") < F.lit(ends.b) + F.expr(f"interval {s.window.duration}"))
+            rows = table.withColumn("t", start).join(touched, "t", "left_semi").drop("t")
+            distribution_to(sessions.segment_distribution(rows, s.window.duration), n)
+        finally:
+            batch.unpersist()
 
     return each
 
 
+def enriched_stream(spark: SparkSession, like: DataFrame, s: StreamSettings) -> DataFrame:
+    """What the enriched output has written, as a stream: each message is parsed for it once, and no row is read twice."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{s.tables}/enriched_events")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return spark.readStream.schema(like.schema).parquet(f"{s.tables}/enriched_events")
+
+
 def run(spark: SparkSession, raw: DataFrame, s: StreamSettings, products: DataFrame | None = None, users: DataFrame | None = None) -> list[StreamingQuery]:
-    """Starts enriched events, windows, behaviours and dead letters."""
+    """Starts enriched events and dead letters on the source, and windows and sessions on the enriched events."""
     good, bad = parsed(raw)
     enriched = E.stamp_processing(E.enrich(good, products, users))
+    first = [start(enriched, "enriched_events", s), start(bad, "dead_letters", s)]
+    if s.available_now:
+        first[0].awaitTermination()
+    written = enriched_stream(spark, enriched, s)
     return [
-        start(enriched, "enriched_events", s),
-        start(windowed(enriched, s), "windowed_metrics", s),
-        start(keyed_sessions(enriched, s), "user_behaviors", s, "append", behaviours_each(s)),
-        start(bad, "dead_letters", s),
+        *first,
+        start(windowed(written, s), "windowed_metrics", s),
+        start(keyed_sessions(written, s), "user_behaviors", s, "append", sessions_each(s)),
     ]
 
 

@@ -53,3 +53,23 @@ def test_errors(app):
     said = []
     body = app({"PATH_INFO": "/api/recommend", "QUERY_STRING": ""}, lambda s, h: said.append(s))
     assert said == ["400 Bad Request"] and json.loads(body[0])["success"] is False
+
+
+def test_bounds_of_requests(app):
+    for name, query in [("/api/products", {"limit": "100000"}), ("/api/products", {"limit": "x"}), ("/api/recommend", {"product_id": "7", "top_n": "0"}), ("/api/recommend", {"product_id": "7", "top_n": "many"}), ("/api/recommend", {"product_id": "7", "top_n": "100000"})]:
+        assert app.answer(name, query)[0] == 400, query
+    assert len(app.answer("/api/recommend", {"product_id": "7", "top_n": "3"})[1]["recommendations"]) == 3
+
+
+def test_commands(spark, tmp_path, monkeypatch):
+    from pathloom import __main__ as M
+
+    monkeypatch.setenv("PATHLOOM_ROOT", str(tmp_path / "tables"))
+    monkeypatch.setenv("PATHLOOM_CHECKPOINTS", str(tmp_path / "ck"))
+    text = json.dumps({"event_time": "2024-01-01 12:00:00 UTC", "event_type": "view", "product_id": 1, "price": 2.0, "user_id": 1, "user_session": "s"})
+    spark.createDataFrame([(text, datetime.datetime(2024, 1, 1))], "value string, timestamp timestamp").write.parquet(str(tmp_path / "in"))
+    assert M.main(["stream", "--folder", str(tmp_path / "in"), "--once"], spark) == 0
+    assert M.main(["journey", "--layout", str(tmp_path / "layout")], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "tables/journey_metrics")).count() == 8 and spark.read.parquet(str(tmp_path / "layout")).count() == 1
+    with pytest.raises(SystemExit):
+        M.main(["no such job"], spark)

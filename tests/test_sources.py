@@ -8,7 +8,8 @@ from pathloom.model import CATEGORY, PRODUCT, SessionSettings
 from pathloom.operators import sessions as S
 from pathloom.operators import events as E
 from pathloom.sources import generators as G
-from pathloom.sources import readers, sinks
+from pathloom.settings import Deployment
+from pathloom.sources import readers, replay, sinks
 
 
 def test_csv_with_a_schema_and_all_strings(spark, tmp_path):
@@ -43,6 +44,83 @@ def test_upsert_replaces_by_key(spark, tmp_path):
     assert os.listdir(tmp_path) == ["t"]
 
 
+def folders(path):
+    return {f: sorted(os.listdir(f"{path}/{f}")) for f in os.listdir(path) if f.startswith("key_part=")}
+
+
+def test_upsert_writes_only_the_folders_it_touches_and_the_last_row_of_a_key_counts(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "id long, v string, n int"
+    sinks.upsert(spark.createDataFrame([(k, "a", 0) for k in range(100)], schema), path, ["id"], last="n")
+    before = folders(path)
+    sinks.upsert(spark.createDataFrame([(7, "b", 1), (7, "d", 3), (7, "c", 2), (None, "x", 1)], schema), path, ["id"], last="n")
+    after = folders(path)
+    assert len(before) == 16 and sum(before[f] != after[f] for f in before) <= 2
+    assert {(r.id, r.v) for r in spark.read.parquet(path).filter("v <> 'a'").collect()} == {(7, "d"), (None, "x")} and spark.read.parquet(path).count() == 101
+
+
+def test_a_rename_that_fails_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(k, "a") for k in range(50)], "id long, v string")
+    sinks.upsert(rows, path, ["id"])
+    before, real, calls = sorted(map(tuple, spark.read.parquet(path).collect())), sinks.rename, []
+
+    def failing(files, old, new):
+        calls.append(old)
+        if len(calls) == 2:  # the old folder is aside, the new one isn't there yet
+            raise OSError("no")
+        real(files, old, new)
+
+    monkeypatch.setattr(sinks, "rename", failing)
+    with pytest.raises(OSError):
+        sinks.upsert(rows.withColumn("v", F.lit("b")), path, ["id"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == before
+    monkeypatch.setattr(sinks, "rename", real)
+    sinks.upsert(rows.withColumn("v", F.lit("b")), path, ["id"])
+    assert {r.v for r in spark.read.parquet(path).collect()} == {"b"} and spark.read.parquet(path).count() == 50
+
+
+def test_replay_paces_and_tries_again(spark):
+    sent, waits, failures = [], [], [1, 1]
+
+    def send(df):
+        if failures:
+            failures.pop()
+            raise OSError("away")
+        sent.append([r.id for r in df.collect()])
+
+    assert replay.replay(spark.range(7), send, ["id"], 3, 0.25, 3, waits.append) == 7
+    assert sent == [[0, 1, 2], [3, 4, 5], [6]] and waits == [0.5, 1.0, 0.25, 0.25, 0.25]
+    with pytest.raises(OSError):
+        replay.attempt(lambda: (_ for _ in ()).throw(OSError("no")), 2, waits.append)
+
+
+def test_collections_and_deployment_come_from_settings(spark, tmp_path, monkeypatch):
+    with pytest.raises(ValueError):
+        readers.Collections.of_session(spark)
+    spark.conf.set("spark.pathloom.tables", str(tmp_path))
+    try:
+        readers.Collections.of_session(spark).write(spark.range(2), "a")
+        assert readers.Collections(str(tmp_path)).count(spark, "a") == 2
+    finally:
+        spark.conf.unset("spark.pathloom.tables")
+    made = Deployment.from_environment({"PATHLOOM_TOPIC": "t", "PATHLOOM_CHUNK_ROWS": "5", "PATHLOOM_PAUSE_SECONDS": "0.5", "OTHER": "x"})
+    assert (made.topic, made.chunk_rows, made.pause_seconds, made.retries) == ("t", 5, 0.5, 3)
+    with pytest.raises(ValueError, match="CHUNK_ROWS"):
+        Deployment.from_environment({"PATHLOOM_CHUNK_ROWS": "many"})
+
+
+def test_the_session_s_limit_decides_on_broadcasts(spark):
+    from pathloom.functions import expressions as X
+
+    hinted = lambda df: "ResolvedHint" in X.small_side(df)._jdf.queryExecution().analyzed().toString()
+    assert hinted(spark.range(10))
+    spark.conf.set("spark.pathloom.broadcastBytes", "10")
+    try:
+        assert not hinted(spark.range(10))
+    finally:
+        spark.conf.unset("spark.pathloom.broadcastBytes")
+
+
 def test_partitions_are_pruned_and_buckets_spare_the_shuffle(spark, tmp_path):
     e = spark.range(200).select((F.col("id") % 20).alias("user_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 3600).alias("event_timestamp"), F.when(F.col("id") % 2 == 0, "view").otherwise("cart").alias("event_type"))
     path = str(tmp_path / "p")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pathloom.model import WindowSettings
 from pathloom.operators import metrics as M
+from pathloom.operators import sessions as S
 from pathloom.sources import readers, sinks
 from pathloom.streaming import pipeline as P
 
@@ -50,6 +51,33 @@ def test_the_whole_pipeline(spark, tmp_path):
     parts = {r.user_session: r for r in read("user_behaviors").collect()}
     assert parts["s1"].total_events == 5 and parts["s1"].session_duration_minutes == 4.0 and parts["s2"].total_amount == 10.0
     assert read("windowed_metrics").agg(F.sum("event_count")).first()[0] == 6
+    metrics = {r.user_session: r for r in read("session_metrics").collect()}
+    assert metrics["s1"].view_count == 5 and metrics["s1"].gross_price_sum == 50.0 and metrics["s1"].unique_categories == 1 and metrics["s2"].converted_to_purchase
+    assert {"unique_categories", "avg_purchase_price", "avg_product_price_viewed", "remove_cart_count"} <= set(read("user_behaviors").columns)
+    want = S.segment_distribution(read("user_behaviors"))
+    cells = lambda df: sorted((r.window_start, r.behavior_segment, r.session_count, r.total_revenue or 0) for r in df.collect())
+    assert cells(read("segment_distribution")) == cells(want) and want.count() == 2
+
+
+def test_the_distribution_follows_later_sessions_of_a_window(spark, tmp_path):
+    s = settings(tmp_path)
+    each = P.sessions_each(s)
+    good, _ = P.parsed(spark.createDataFrame([(message(k, 10 * k, user=k, session=f"s{k}"), T0) for k in range(6)] + [(message(9, 3600, user=9, session="s9"), T0)], MESSAGE))
+    parts = P.keyed_sessions(good.withColumn("category_code", F.lit("c")), s)
+    each(parts.filter("user_id < 3"), 0)
+    each(parts.filter("user_id >= 3"), 1)
+    each(parts.filter("user_id >= 3"), 1)  # the same batch again
+    got = {r.window_start: r.session_count for r in spark.read.parquet(f"{s.tables}/segment_distribution").collect()}
+    assert got == {T0: 6, T0 + datetime.timedelta(hours=1): 1}
+
+
+def test_each_message_is_parsed_for_events_once(spark, tmp_path):
+    src = str(tmp_path / "in")
+    drop(spark, src, [message(k, 60 * k) for k in range(5)])
+    queries = P.run(spark, stream(spark, src), settings(tmp_path))
+    finish(queries)
+    reading = [q.name for q in queries if "from_json" in q._jsq.explainInternal(False)]
+    assert reading == ["enriched_events", "dead_letters"]
 
 
 def test_a_stream_gives_the_windows_that_a_batch_gives_once_they_close(spark, tmp_path):
