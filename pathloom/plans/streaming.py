@@ -44,6 +44,7 @@ def streamed_windows(spark, d):
       round(sum(price) FILTER (WHERE event_type = 'purchase') + 1e-9, 6) AS total_amount FROM p GROUP BY user_id, user_session, part""",
 )
 def streamed_sessions(spark, d):
-    out = finished(P.keyed_sessions(streamed(spark, d), P.StreamSettings("", "")))
+    events = streamed(spark, d).withColumn("category_code", F.lit(None).cast("string"))
+    out = finished(P.keyed_sessions(events, P.StreamSettings("", "")))
     times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("part_start", "session_end")]
     return rounded(out.select(*times, "user_id", "user_session", "total_events", "view_count", "cart_count", "purchase_count", "gross_price_sum", "total_amount"))
