@@ -236,7 +236,8 @@ def deduplicate(docs: DataFrame, p: LineDedupParams = LineDedupParams(), whole:
     cut = repeats(docs, p, whole).select(F.col("doc_id").alias("__pl_id"), F.col("h").alias("__pl_h"), "__pl_cut")
     docs = common.without(docs, ["lines_removed", "whole_copy"] if whole else ["lines_removed"])
     joined = docs.withColumn("__pl_key", common.row_key()).join(cut, (F.col("doc_id") == F.col("__pl_id")) & (F.col("__pl_key") == F.col("__pl_h")), "left")
-    kept = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(__pl_cut, i)), '\n')")
+    # the array of one binds the lines; array_except hashes, so a text of many lines and cuts takes time linear in both
+    kept = F.expr("transform(array(split(text, '\n', -1)), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), __pl_cut), i -> ls[i]), '\n'))[0]")
     text = F.when(F.col("__pl_cut").isNull(), F.col("text")).otherwise(kept)
     out = [text.alias(c) if c == "text" else joined[f"`{c}`"] for c in docs.columns]
     copied = F.coalesce(F.array_contains("__pl_cut", WHOLE), F.lit(False))
