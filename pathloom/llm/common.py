@@ -6,6 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -112,6 +114,13 @@ def extended(df: DataFrame, added: str) -> T.StructType:
     return T.StructType([f for f in df.schema if f.name.lower() not in names] + list(more))
 
 
+def holds_any(text: str, exact: list[str], lowered: list[str]):
+    """Whether a text holds any of the words of `exact` as they are, or of `lowered` in any case: plain searches, many times as
+    fast as a pattern. The array of one binds the lower case, which is made once."""
+    holds = lambda t, words: reduce(or_, [F.contains(t, F.lit(w)) for w in words], F.lit(False))
+    return holds(F.col(text), exact) | F.exists(F.array(F.lower(text)), lambda low: holds(low, lowered))
+
+
 def row_key(text: str = "text"):
     """Tells rows of one doc_id with different texts apart."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

@@ -81,7 +81,9 @@ RULES = [
     ("Proprietary", "mention", ["all_rights"]),
 ]
 
-HINT = r"(?i)licen[sc]e|copyright|rights reserved|permission|warrant|redistribut|public domain|free software|copies"
+#: Every known sentence holds one of these, in any case.
+MARKS = ["license", "licence", "copyright", "rights reserved", "permission", "warrant", "redistribut", "public domain", "free software", "copies"]
+HINT = "(?i)" + "|".join(MARKS)
 
 
 def plain(text: str) -> str:
@@ -140,7 +142,7 @@ def scan(docs: DataFrame) -> DataFrame:
         found.append(F.struct(F.lit(licence).alias("licence"), best.alias("rule")))
     hits = F.filter(F.array(*found), lambda x: x["rule"].isNotNull())
     return (
-        docs.filter(F.col("text").rlike(HINT))
+        docs.filter(common.holds_any("text", [], MARKS))
         .select("doc_id", sequence(F.col("text")).alias("__pl_ids"))
         .filter(F.size("__pl_ids") > 0)
         .select("doc_id", "__pl_ids", ids.alias("__pl_seq"))

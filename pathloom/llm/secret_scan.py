@@ -27,8 +27,6 @@ deep recursion. Other columns are ignored, whatever their names. An empty table
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,9 +73,8 @@ def matches(kind: str, pattern: str, text: Column | str = "text") -> Column:
 
 
 def hinted(text: str = "text") -> Column:
-    """Whether a text holds any vendor's mark or, in any case, a keyword. The array of one binds the lower case, made once."""
-    holds = lambda t, words: reduce(or_, [F.contains(t, F.lit(w)) for w in words])
-    return holds(F.col(text), VENDORS) | F.exists(F.array(F.lower(text)), lambda low: holds(low, KEYWORDS))
+    """Whether a text holds any vendor's mark or, in any case, a keyword."""
+    return common.holds_any(text, VENDORS, KEYWORDS)
 
 
 def settings(p: SecretParams) -> Column:
