@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions import expressions as X
@@ -49,6 +50,22 @@ def rename(files, old, new) -> None:
         raise OSError(f"{old} can't be renamed to {new}")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, of spark.checkpoint.dir; a local session without one gets one of its machine."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if given is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if given is None:
+        given = "file://" + tempfile.mkdtemp(prefix="pathloom-")
+        spark.sparkContext.setCheckpointDir(given)
+    return given
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def upsert(new: DataFrame, path: str, key: list[str], stamp: str | None = "updated_at", last: str | None = None, parts: int = 16) -> None:
     """Replaces rows of a Parquet folder by key; of rows with one key in `new`, the last one counts.
 

@@ -163,3 +163,21 @@ def test_monitor_stops_all_when_one_ends(spark, tmp_path):
     told = []
     P.monitor([q], 0.1, told.append)
     assert not q.isActive
+
+
+def test_complete_output_never_passes_through_the_driver(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = [(T0 + datetime.timedelta(hours=3 * k), k % 7) for k in range(700)]
+    spark.createDataFrame(rows, "t timestamp, u int").repartition(3).write.parquet(src)
+    provider = spark.conf.get(P.PROVIDER)
+    out = P.complete(spark.readStream.schema("t timestamp, u int").option("maxFilesPerTrigger", 1).parquet(src).groupBy("u").agg(F.count(F.lit(1)).alias("n")))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "MemoryPlan" not in plan and "LocalRelation" not in plan
+    assert sorted((r.u, r.n) for r in out.collect()) == [(u, 100) for u in range(7)] and spark.conf.get(P.PROVIDER) == provider
+    nothing = str(tmp_path / "nothing")
+    spark.createDataFrame([], "t timestamp, u int").write.parquet(nothing)
+    assert P.complete(spark.readStream.schema("t timestamp, u int").parquet(nothing).groupBy("u").count()).count() == 0
+    from pathloom.plans import streaming
+
+    for query in (streaming.streamed_sessions, streaming.streamed_windows):
+        assert "MemoryPlan" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
