@@ -1,12 +1,15 @@
 import datetime
+import re
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from pathloom.model import CooccurrenceSettings
 from pathloom.operators import events as E
 from pathloom.operators import recommend as R
 from pathloom.operators import serving as Q
+from pathloom.plans import registry
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -96,3 +99,30 @@ def test_pages_and_single_products(spark):
 def test_churn_rate_of_nobody(spark):
     empty = spark.createDataFrame([], "user_id long, churn_prediction double, total_spent double")
     assert Q.churn_rate(empty).first().churn_rate == 0.0 and Q.at_risk(empty).count() == 0
+
+
+@pytest.mark.parametrize("name", ["a17_item_weights", "j3_bounded_sessions", "a19_pair_scores", "u1_both_ways", "w2_candidates", "m_product_affinity", "j6_candidate_features", "m13_final_scores", "w3_top_recommendations", "a20_recommendation_lists", "q10_recommendations"])
+def test_tasks_follow_the_input_and_rows_stay(spark, name):
+    query, small = registry.queries()[name], "/root/testdata/sf0.001"
+    rows = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    want = rows(query(spark, small))
+    spark.conf.set("spark.pathloom.taskBytes", 8192)
+    try:
+        many = query(spark, small)
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        # 15 parts or more of a lineitem of 116 kB, and no shuffle of sessions, pairs or candidates by the session's 4 partitions
+        assert re.search(r"hashpartitioning\(user_session#\d+, [1-9]\d+\), REPARTITION_BY_NUM", plan)
+        assert not re.search(r"hashpartitioning\((user_session|product_a|cand_product_id)[^)]*, 4\)", plan) and "SortMergeJoin [user_session" not in plan
+        assert rows(many) == want
+    finally:
+        spark.conf.unset("spark.pathloom.taskBytes")
+
+
+def test_only_pairs_with_a_wanted_product_are_made(spark):
+    rows = clicks(spark, [(f"s{k % 5}", f"p{k * 7 % 9}", "view") for k in range(60)])
+    wanted = spark.createDataFrame([("p3",), ("none",)], "product_id string")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(R.candidates(rows, wanted=wanted)) == key(R.candidates(rows).filter("product_id = 'p3'"))
+    items = R.item_weights(rows).withColumn("asked", F.col("product_id") == "p3")
+    pairs = R.session_pairs(items, "asked").collect()
+    assert pairs and all("p3" in (r.product_a, r.product_b) and r.product_a < r.product_b for r in pairs)
