@@ -84,5 +84,9 @@ def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
     """df marked for broadcast while its estimated size is within limit; larger ones are joined by a shuffle.
 
     Without a limit, that of the session's settings counts."""
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
     limit = int(df.sparkSession.conf.get("spark.pathloom.broadcastBytes", str(64 << 20))) if limit is None else limit
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    return estimated_bytes(df) <= limit

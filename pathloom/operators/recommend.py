@@ -69,13 +69,15 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 def candidates(interactions: DataFrame, s: CooccurrenceSettings = CooccurrenceSettings(), wanted: DataFrame | None = None) -> DataFrame:
     """product_id, cand_product_id, related_score: the best per_item partners of each product, or of the wanted ones only."""
     items = bounded_sessions(item_weights(latest_per_session(interactions, s)), s)
-    if wanted is None:
-        pairs = both_ways(pair_scores(items))
+    few = None if wanted is None else wanted.select("product_id").distinct()
+    if few is not None and X.is_small(few):
+        # marks stay with the sessions' tasks: only pairs with a wanted product are moved
+        items = items.join(F.broadcast(few.withColumn("asked", F.lit(True))), "product_id", "left").withColumn("asked", F.col("asked").isNotNull())
+        pairs = both_ways(pair_scores(items, "asked"))
     else:
-        wanted = wanted.select("product_id").distinct()
-        marks = X.small_side(wanted.withColumn("asked", F.lit(True)))
-        marked = items.join(marks, "product_id", "left").withColumn("asked", F.col("asked").isNotNull())
-        pairs = both_ways(pair_scores(marked, "asked")).join(X.small_side(wanted), "product_id", "left_semi")
+        pairs = both_ways(pair_scores(items))
+    if few is not None:
+        pairs = pairs.join(X.small_side(few), "product_id", "left_semi")
     return top_per_group(X.spread(pairs, "product_id"), ["product_id"], [F.desc("related_score"), F.asc("cand_product_id")], s.per_item)
 
 
