@@ -10,6 +10,7 @@ from pathloom.operators import events as E
 from pathloom.operators import recommend as R
 from pathloom.operators import serving as Q
 from pathloom.plans import registry
+from pathloom.sources import testdata as D
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -126,3 +127,55 @@ def test_only_pairs_with_a_wanted_product_are_made(spark):
     items = R.item_weights(rows).withColumn("asked", F.col("product_id") == "p3")
     pairs = R.session_pairs(items, "asked").collect()
     assert pairs and all("p3" in (r.product_a, r.product_b) and r.product_a < r.product_b for r in pairs)
+
+
+@pytest.mark.parametrize("name", ["w2_candidates", "j6_candidate_features", "m13_final_scores", "a20_recommendation_lists", "m12_purchase_propensity"])
+def test_candidates_move_lists_once_and_ids_as_numbers(spark, name):
+    """Pairs aren't moved by pair and again by product, and nothing is keyed by products' ids as text."""
+    df = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    kinds = {str(e.dataType()) for e in keys_of_shuffles(df._jdf.queryExecution().optimizedPlan()) if e.name() in ("product_id", "cand_product_id")}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "product_a" not in plan and kinds == {"LongType"}, (plan, kinds)
+
+
+def keys_of_shuffles(plan):
+    """Attributes that windows and aggregates of a plan group by."""
+    out, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+        keys = {"Window": "partitionSpec", "Aggregate": "groupingExpressions"}.get(node.nodeName())
+        if keys:
+            found = getattr(node, keys)()
+            out += [found.apply(k) for k in range(found.size()) if hasattr(found.apply(k), "name")]
+    return [e for e in out if e.getClass().getSimpleName() == "AttributeReference"]
+
+
+@pytest.fixture
+def odd_tables(spark, tmp_path):
+    """Lines of a product that isn't there, that stands there twice, that lacks a brand, with ties of time and without a price."""
+    day = lambda k: T0 + datetime.timedelta(days=k)
+    lines = [(o, p, flag, day(k % 3), price) for k, (o, p, flag, price) in enumerate([(1, 10, "R", 5.0), (1, 9, "N", None), (1, 10, "N", 7.0), (2, 9, "N", 2.0), (2, 9, "N", 3.0), (2, 77, "R", 1.0), (3, 11, "N", 4.0), (3, 10, "N", 9.0), (3, 9, "R", 8.0), (None, 9, "N", 1.0), (3, None, "N", 1.0)])]
+    lines += [(4, p, "N", day(1), 6.0) for p in (9, 10, 11, 77)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_returnflag string, l_shipdate timestamp, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = [(9, "n", "B#1", "T1", 1.0), (9, "n", "B#2", "T0", 1.0), (9, "n", None, "T9", 1.0), (10, "n", "B#3", "T2", 1.0), (11, "n", None, "T3", 1.0)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def test_products_that_repeat_or_are_missing_count_as_in_the_join(spark, odd_tables):
+    rows = lambda df: sorted(map(repr, df.collect()))
+    columns = ["user_session", "product_id", "event_type", "event_ts", "price", "weight"]
+    joined, bare = D.baskets(spark, odd_tables), R.X.with_text(D.bare_baskets(spark, odd_tables), "product_id")
+    assert rows(bare.select(columns)) == rows(joined.select(columns)) and bare.count() > 15
+    assert rows(registry.queries()["u3_product_features"](spark, odd_tables)) == rows(R.product_features(joined))
+    assert rows(registry.queries()["w2_candidates"](spark, odd_tables)) == rows(R.candidates(joined))
+    for few in (1, 2):  # bounds that bite; ties by the ids' text, where 10 comes before 9
+        s = CooccurrenceSettings(events_per_session=few + 1, items_per_session=3, per_item=few)
+        assert rows(R.X.with_text(R.candidates(D.bare_baskets(spark, odd_tables), s), "product_id", "cand_product_id")) == rows(R.candidates(joined, s))
+
+
+def test_partner_scores_are_pair_scores_both_ways(spark):
+    items = R.item_weights(clicks(spark, [(f"s{k % 7}", f"p{k * 11 % 13}", "purchase" if k % 3 else "view") for k in range(90)]))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(R.partner_scores(R.partners(items))) == key(R.both_ways(R.pair_scores(items)))
