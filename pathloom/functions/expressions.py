@@ -76,12 +76,14 @@ TASK_BYTES = 4 << 20
 
 def parts_for(df: DataFrame) -> int:
     """Tasks for a shuffle of df by the size of the files that it is made from, so that a task's share stays the same as the
-    input grows; 0 where the session's number of shuffle partitions is enough. Rows that don't come from files have no known size and count as none."""
+    input grows, and as many as the session has at once; 0 where all is one task's share. More shuffle partitions of the session are no
+    reason for 0: adaptive execution joins those up to its advisory size. Rows that don't come from files have no known size and count as none."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
     total = sum(x for x in sizes if x < 1 << 60)
     parts = -(-total // int(df.sparkSession.conf.get("spark.pathloom.taskBytes", str(TASK_BYTES))))
-    return parts if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+    at_once = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return max(parts, at_once) if parts > 1 else 0
 
 
 def spread(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
